@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup
+from pluvia.llm import exact_dedup, simhash
 from pluvia.sources import table
 
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,7 +28,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {"op5_simhash": op5_simhash, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
