@@ -59,11 +59,14 @@ class DigestIndex:
         first = digests.groupBy("digest").agg(
             F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_id")).alias("first")
         )
-        fresh = first.hint("merge").join(self.table(), "digest", "left_anti")
+        # written, as the optimizer would else move the anti-join below the aggregate and shuffle every copy
+        scratch = Scratch(self.spark, "digest-batch")
+        fresh = scratch.write(first, "first").hint("merge").join(self.table(), "digest", "left_anti")
         fresh = fresh.select(
             "digest", F.col("first.id").alias("first_id"), F.col("first.row_id").alias("first_row"), F.lit(call).alias("call")
         )
         self._write(fresh, self.name, "append")
+        scratch.drop()
 
     def compact(self) -> None:
         """Rewrite to one sorted file a bucket, after many appends."""
