@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, simhash
+from pluvia.llm import exact_dedup, quality, simhash
 from pluvia.sources import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,6 +16,33 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+OP6_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS words,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           FROM documents),
+tok AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+win AS (SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS five,
+               lead(i, 4) OVER o AS last
+        FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM win WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 5) AS r(k) GROUP BY doc_id),
+f AS (SELECT doc_id, words, len(words) AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM w LEFT JOIN cover USING (doc_id)),
+g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words
+            OR 2 * n_dup_lines > n_lines OR 10 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\pL'))) > 3 * n_words) AS kept
+FROM g
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,8 +55,8 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op8_exact_dedup": op8_exact_dedup}
+    return {"op5_simhash": op5_simhash, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL}
