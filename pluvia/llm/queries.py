@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, quality, simhash
+from pluvia.llm import exact_dedup, packing, quality, simhash
 from pluvia.sources import table
 
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def pack_documents(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,7 +65,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_packing": op1_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
