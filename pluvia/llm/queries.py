@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, packing, quality, simhash
+from pluvia.llm import exact_dedup, packing, quality, simhash, toxicity
 from pluvia.sources import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,6 +53,13 @@ FROM g
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % toxicity.FOLDS == 1
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,7 +72,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_packing": op1_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
