@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, packing, quality, simhash, toxicity
+from pluvia.llm import exact_dedup, packing, pii, quality, simhash, toxicity
 from pluvia.sources import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,8 +71,17 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"), pii.Detector.fit())
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    counts = [F.array_size(F.array_remove(F.transform("base", lambda s: s.kind == kind), False)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
+    )
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_packing": op1_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
