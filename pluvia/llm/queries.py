@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, packing, pii, quality, simhash, toxicity
+from pluvia.llm import exact_dedup, packing, pii, quality, simhash, toxicity, warc
+from pluvia.session import Scratch
 from pluvia.sources import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,6 +22,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    manifest = scratch.write(warc.write_archives(table(spark, sf_dir, "pages"), scratch.uri("archives")), "manifest")
+    return warc.resolved(warc.read_archives(manifest))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT h, max(page_id) AS response_id FROM p GROUP BY h)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, 1 + (5 * i) // 4, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+FROM p JOIN r USING (h)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -81,8 +100,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_warc": OP4_SQL, "op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL}
