@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def skewed_lookup(left: DataFrame, right: DataFrame, key: str, size_col: str, total: int) -> DataFrame:
+def skewed_lookup(left: DataFrame, right: DataFrame, key: str | list[str], size_col: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key and the key's number of left rows.
 
     Keys with more than one thousandth of all ``total`` rows can't number a thousand, so they are broadcast and their
@@ -17,5 +17,6 @@ def skewed_lookup(left: DataFrame, right: DataFrame, key: str, size_col: str, to
     many = total / HOT_KEYS
     hot = F.broadcast(right.filter(F.col(size_col) > many))
     cold = right.filter(F.col(size_col) <= many)
-    rest = left.join(hot.select(key), key, "left_anti").join(cold, key)
+    keys = [key] if isinstance(key, str) else key
+    rest = left.join(hot.select(keys), key, "left_anti").join(cold, key)
     return left.join(hot, key).unionByName(rest)
