@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, packing, pii, quality, simhash, toxicity, warc
+from pluvia.llm import exact_dedup, packing, pii, quality, simhash, substring_dedup, toxicity, warc
 from pluvia.session import Scratch
 from pluvia.sources import table
 
@@ -22,6 +22,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(words) - 48)) AS r(i)),
+again AS (SELECT doc_id, i FROM win QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM again, range(0, 50) AS r(k)),
+gones AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text FROM tok ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN gones USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     manifest = scratch.write(warc.write_archives(table(spark, sf_dir, "pages"), scratch.uri("archives")), "manifest")
@@ -100,8 +118,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL}
