@@ -114,7 +114,8 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(fold != 1)
-    return rows.mapInArrow(shrink, "id long, packed binary").join(marked.filter(fold != 1), "id").withColumn("fold", fold)
+    # merged at every size: labels grow with the corpus and are never broadcast
+    return rows.mapInArrow(shrink, "id long, packed binary").join(marked.filter(fold != 1).hint("merge"), "id").withColumn("fold", fold)
 
 
 def _counts(train: DataFrame) -> np.ndarray:
