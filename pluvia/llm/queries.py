@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, packing, pii, quality, simhash, substring_dedup, toxicity, warc
+from pluvia.llm import exact_dedup, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from pluvia.session import Scratch
 from pluvia.sources import table
 
@@ -40,6 +40,14 @@ FROM w LEFT JOIN gones USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decode_too=True)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     manifest = scratch.write(warc.write_archives(table(spark, sf_dir, "pages"), scratch.uri("archives")), "manifest")
@@ -118,7 +126,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
