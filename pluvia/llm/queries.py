@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from pluvia.llm import exact_dedup, html_extract, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from pluvia.session import Scratch
 from pluvia.sources import table
 
@@ -116,6 +116,11 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"), pii.Detector.fit())
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -126,7 +131,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_html_extract": op9_html_extract, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
