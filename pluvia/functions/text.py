@@ -17,7 +17,7 @@ def station_key(usaf: Column, wban: Column) -> Column:
 
 
 def shown(value: Column, places: int = 1) -> Column:
-    return F.coalesce(F.format_string(f"%.{places}f", value.cast("double")), F.lit("-"))
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{places}f", value.cast("double")))
 
 
 def shown_et0(value: Column) -> Column:

@@ -40,8 +40,9 @@ def chunks(df: DataFrame, order: list[str], size: int = 10, start: int = 0) -> D
 
 def time_axis(spark: SparkSession, start: str, end: str, step: str) -> DataFrame:
     """Instants from ``start`` on, ``end`` left out."""
-    axis = f"explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}' - interval {step}, interval {step})) AS ts"
-    return spark.range(1).filter(F.expr(f"timestamp_ntz'{start}' < timestamp_ntz'{end}'")).selectExpr(axis)
+    low, high = f"timestamp_ntz'{start}'", f"timestamp_ntz'{end}'"
+    last = f"greatest({low}, {high} - interval {step})"  # a sequence must not run backwards
+    return spark.range(1).selectExpr(f"explode(sequence({low}, {last}, interval {step})) AS ts").filter(f"ts < {high}")
 
 
 def daily_mean(df: DataFrame, ts: str, value: str, by: list[str]) -> DataFrame:
