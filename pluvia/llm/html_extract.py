@@ -151,9 +151,9 @@ def read_page(html: str | None) -> list[Block]:
     """The blocks of a page in page order; the first is the root."""
     reader = Reader()
     reader.feed(html or "")
-    reader.close()
-    if reader.rawdata:  # an unfinished tag at the end of a cut-off page isn't text
+    if re.match("<[A-Za-z/!?]", reader.rawdata):  # an unfinished tag or comment at the end of a cut-off page isn't text
         reader.rawdata = ""
+    reader.close()
     return reader.blocks
 
 
@@ -282,7 +282,7 @@ def example_page(draw: np.random.Generator) -> str:
     prose = lambda: "".join(f"<p>{words(3, 40)}</p>" for _ in range(int(draw.integers(1, 4)))) if chance(0.5) else words(3, 30)
     advert = lambda: box(("ad", "ads", "advert", "banner", "sponsored", "promo"), ("div", "aside", "section"), prose() if chance(0.7) else links(1, 3))
     above = [
-        lambda: box(("nav", "menu", "main-menu", "navbar", "breadcrumb"), ("nav", "nav", "div", "ul"), links(3, 9)),
+        lambda: box(("nav", "menu", "main-menu", "navbar", "breadcrumb"), ("nav", "nav", "div", "ul"), links(1, 9) if chance(0.85) else words(1, 6)),
         lambda: box(("header", "masthead", "branding", "topbar"), ("header", "div"), f"<h2>{words(1, 4)}</h2>" + (words(2, 8) if chance(0.5) else links(2, 5))),
         lambda: box(("cookie", "cookie-notice", "consent", "notice", "alert"), ("div", "section", "aside"), prose()),
         advert,
@@ -326,6 +326,11 @@ def example_page(draw: np.random.Generator) -> str:
         return "".join(parts)
 
     tag, named = pick((("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="post-content"'), ("div", ' class="entry"'), ("div", ' id="content"'), ("section", ' class="story"'), ("div", ' class="article-body"'), ("div", "")))
+    if chance(0.15):  # next to nothing on the page
+        small = lambda t: f"<{t}>{word()}</{t}>"
+        parts = [f"<{tag}{named}>" + "".join(f"<p>{mine(1, 5)}" for _ in range(int(draw.integers(1, 4)))) + f"</{tag}>"]
+        parts += [small(t) for t in ("nav", "aside", "footer") if chance(0.5)]
+        return (small("nav") if chance(0.3) else "") + (small("header") if chance(0.3) else "") + "".join(parts)
     top = "".join(pick(above)() for _ in range(int(draw.integers(0, 4))))
     low = "".join(pick(below)() for _ in range(int(draw.integers(0, 4))))
     inside = below[1]() if chance(0.15) else ""
