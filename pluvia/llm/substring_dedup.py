@@ -57,11 +57,16 @@ class Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
-            inverse = pow(BASE, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate(([1], np.full(n - 1, b, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64) for b in (BASE, inverse))
+            self.up, self.down = self._powers(BASE, n), self._powers(pow(BASE, -1, 1 << 64), n)
         return self.up, self.down
 
 

@@ -160,6 +160,18 @@ def planted(seed):
     return docs + [(107, docs[0][1] + " tail"), (107, docs[0][1] + " other")]
 
 
+def test_anchors_are_sparse_and_cover_all_windows():
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(5000)}" for _ in range(40_000)]
+    hashes, powers = substring_dedup.WordHashes(), substring_dedup.Powers()
+    found = list(substring_dedup.anchors(substring_dedup.Text(" ".join(words)), hashes, powers, block=1000))
+    assert [s for _, _, _, s, _ in found] == [0, *(e + 1 for *_, e in found[:-1])] and found[-1][4] == len(words) - 50
+    assert all(s <= p <= e + 34 and p <= s + 34 for _, _, p, s, e in found)
+    assert len(found) < len(words) / 14
+    moved = {h for h, *_ in substring_dedup.anchors(substring_dedup.Text(" ".join(words[7:])), hashes, powers)}
+    assert len(moved ^ {h for h, *_ in found}) < 40
+
+
 @pytest.mark.parametrize("seed,batches", [(1, 1), (2, 2), (3, 4)])
 def test_windows_against_brute_force(spark, seed, batches):
     docs = planted(seed)
