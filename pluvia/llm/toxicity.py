@@ -182,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(log_ratios(counts.sum(0)), weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id and score of each row; with ``keep`` all columns of ``docs`` and ``toxicity_score``."""
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """id and score of each row; with ``keep`` all columns of ``docs`` and the score under that name."""
     shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +192,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             found = [evidence(known.ratios, cells(t.as_py())) for t in batch.column(batch.schema.get_field_index(text_col))]
             scores = pa.array(known.score(np.array(found).reshape(-1, EVIDENCE)), pa.float64())
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "toxicity_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, keep])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["id", "score"])
 
     if keep:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{fields}, toxicity_score double")
+        return docs.mapInArrow(run, f"{fields}, `{keep}` double")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col))
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)

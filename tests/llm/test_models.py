@@ -206,7 +206,7 @@ def test_toxicity_awkward(awkward, empty, spark):
     model = toxicity.fit(awkward, labels)
     assert toxicity.score(awkward, model).count() == awkward.count()
     assert toxicity.score(empty, model).count() == 0
-    assert set(toxicity.score(awkward, model, keep=True).columns) == {*awkward.columns, "toxicity_score"}
+    assert set(toxicity.score(awkward, model, keep="toxicity_score").columns) == {*awkward.columns, "toxicity_score"}
     none = toxicity.fit(empty, labels.limit(0))
     assert {r.score for r in toxicity.score(awkward, none).collect()} == {0.5}
     assert {r.score for r in toxicity.score(awkward, toxicity.fit(awkward, labels.filter("toxic = 0"))).collect()} != {0.5}
