@@ -104,10 +104,13 @@ def quality_cascade(
 ) -> DataFrame:
     """The base columns of each row, with kept and rejected_by (the first rule that rejects; ``base``, a rule or null).
 
-    The order of the rules is estimated on at most ``sample_rows`` rows that pass the base rule; all rows are judged.
+    The order of the rules is estimated on a random sample of about ``sample_rows`` rows, those that pass the base rule;
+    all rows are judged.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    sample = scratch.write(base_features(docs.limit(sample_rows), id_col, text_col), "sample")
+    share = sample_rows / max(1, docs.count())
+    sample = docs if share >= 1 else docs.sample(share, seed=1)  # a limit would gather rows of every partition in one task
+    sample = scratch.write(base_features(sample, id_col, text_col), "sample")
     order = rule_order(sample.filter("NOT base_failed"), rules)
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule, _, _ in order:
