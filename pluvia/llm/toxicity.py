@@ -14,10 +14,13 @@ A text's evidence is the mean log-ratio an expression (toxic over ordinary), the
 
 Counts are taken from all labelled training rows, however many; as words are hashed, the counts are at most
 ``STEMS * ENDINGS`` rows and the broadcast table of log-ratios has a fixed size. The curve alone is fitted on a sample
-of at most ``curve_rows`` training rows, each scored by the counts of the fold that it isn't in.
+of about ``curve_rows`` training rows, each scored by the counts of the half that it isn't in. The sample is drawn per
+class, and weights restore the classes' shares. The halves are the two training folds; if a class has words in one of
+them alone, ids are dealt to halves anew.
 
 Defined results: null, empty and word-less texts get the score of no evidence. Several labels of one id: toxic if any
-is. Null labels are no labels. Without a toxic or without an ordinary training row, every score is the training rows'
+is. Null labels are no labels. Without a toxic or without an ordinary training row, or where a class has words under
+fewer than two ids (so that no curve can be fitted on rows held out of the counts), every score is the training rows'
 toxic share (0.5 without rows). Rows that repeat an id are scored each. Score inputs are the text only.
 """
 
@@ -30,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.session import Scratch
@@ -90,49 +93,62 @@ def evidence(ratios: np.ndarray, cells: np.ndarray) -> tuple[float, ...]:
     return float(r.mean()), float((sums[width:] - sums[:-width]).max() / WINDOW), float(np.log1p(len(r))), float(strong.mean()), float(strong.max())
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights (the last for the constant) by Newton steps."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights (the last for the constant) by Newton steps; a row stands for ``counts`` rows."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(hess, x.T @ (p - y) + ridge * w)
+        hess = (x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(hess, x.T @ (counts * (p - y)) + ridge * w)
     return w
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text (compressed), toxic and fold of the labelled rows outside the held-out third."""
+    """text (compressed), whether it has words, toxic and fold of the labelled rows outside the held-out third."""
     fold = F.crc32(F.col("id").cast("string")) % FOLDS
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack, word = zstandard.ZstdCompressor(level=3), re.compile(r"\w").search
         for batch in batches:
             texts = [pack.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "packed"])
+            worded = [word(t.as_py() or "") is not None for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(worded, pa.bool_())], ["id", "packed", "worded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(fold != 1)
     # merged at every size: labels grow with the corpus and are never broadcast
-    return rows.mapInArrow(shrink, "id long, packed binary").join(marked.filter(fold != 1).hint("merge"), "id").withColumn("fold", fold)
+    return rows.mapInArrow(shrink, "id long, packed binary, worded boolean").join(marked.filter(fold != 1).hint("merge"), "id").withColumn("fold", fold)
+
+
+def _halves(train: DataFrame) -> Column | None:
+    """Whether a training row is in the second half, such that each class has words in both halves; None if none does."""
+    ways = [F.col("fold") == 2, *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 1 for k in range(32))]
+    for tried in (ways[:1], ways[1:]):
+        ends = [f(w).alias(f"{f.__name__}{k}") for k, w in enumerate(tried) for f in (F.min, F.max)]
+        classes = train.filter("worded").groupBy(F.col("toxic") == 0).agg(*ends).collect()  # two rows
+        for k, way in enumerate(tried):
+            if len(classes) == 2 and all(c[f"min{k}"] != c[f"max{k}"] for c in classes):
+                return way
+    return None
 
 
 def _counts(train: DataFrame) -> np.ndarray:
-    """Counts by fold (0 and 2), class (toxic, ordinary) and cell, summed on the executors."""
+    """Counts by half, class (toxic, ordinary) and cell, summed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, open_, total = reader(), zstandard.ZstdDecompressor(), np.zeros((4, CELLS), dtype=np.int64)
         for batch in batches:
-            for packed, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for packed, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found, n = np.unique(cells(open_.decompress(packed).decode("utf-8", "surrogatepass")), return_counts=True)
-                total[(fold == 2) * 2 + (toxic == 0), found] += n
+                total[half * 2 + (toxic == 0), found] += n
         at = np.nonzero(total.any(0))[0]
         for i in range(0, len(at), 1 << 16):
             k = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, total[:, k])], ["cell", "a", "b", "c", "d"])
 
-    rows = train.select("packed", "toxic", "fold").mapInArrow(run, "cell long, a long, b long, c long, d long")
+    rows = train.select("packed", "toxic", "half").mapInArrow(run, "cell long, a long, b long, c long, d long")
     summed = rows.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most CELLS rows
     out = np.zeros((4, CELLS), dtype=np.int64)
     for i, c in enumerate("abcd"):
@@ -155,12 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = scratch.write(_training(docs, labels, id_col, text_col, label_col), "train")
     shares = train.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = shares.n, shares.toxic or 0
-    if not 0 < toxic < n:
+    half = _halves(train) if 0 < toxic < n else None
+    if half is None:
         share = (toxic + 0.5) / (n + 1)
         scratch.drop()
         return ToxicityModel(np.zeros(CELLS, np.float32), np.array([0.0] * EVIDENCE + [np.log(share / (1 - share))]))
+    train = train.withColumn("half", half)
     counts = _counts(train)
-    tables = [log_ratios(counts[1]), log_ratios(counts[0])]  # a row of a fold is scored by the other fold's counts
+    tables = [log_ratios(counts[1]), log_ratios(counts[0])]  # a row of a half is scored by the other half's counts
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     names = [*(f"x{i}" for i in range(EVIDENCE)), "y"]
 
@@ -168,15 +186,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         cells, open_ = reader(), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for packed, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                out.append((*evidence(shared.value[(fold == 2) * 1], cells(open_.decompress(packed).decode("utf-8", "surrogatepass"))), float(label)))
+            for packed, label, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                out.append((*evidence(shared.value[int(half)], cells(open_.decompress(packed).decode("utf-8", "surrogatepass"))), float(label)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(names), names)
 
-    share = min(1.0, curve_rows / n)
-    sample = train.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = sample.select("packed", "toxic", "fold").mapInArrow(run, ", ".join(f"{c} double" for c in names)).limit(2 * curve_rows).toArrow()
-    data = np.column_stack([got.column(c).to_numpy() for c in names])
-    weights = logistic_fit(data[:, :-1], data[:, -1])
+    def drawn(rows: DataFrame) -> np.ndarray:
+        got = rows.select("packed", "toxic", "half").mapInArrow(run, ", ".join(f"{c} double" for c in names)).limit(2 * curve_rows).toArrow()
+        return np.column_stack([got.column(c).to_numpy() for c in names])
+
+    sizes = {1: toxic, 0: n - toxic}
+    data = []
+    for c, size in sizes.items():  # each class gets half of the rows, and what the other class leaves
+        rows, room = train.filter(F.col("toxic") == c), max(curve_rows // 2, curve_rows - sizes[1 - c])
+        chosen = drawn(rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, room / size) * (1 << 30))))
+        data.append(chosen if len(chosen) else drawn(rows))  # a few ids that hold all rows of a class may all be passed over
+    stands = np.concatenate([np.full(len(d), size / len(d)) for d, size in zip(data, sizes.values())])
+    data = np.concatenate(data)
+    weights = logistic_fit(data[:, :-1], data[:, -1], stands * len(data) / n)
     shared.destroy()
     scratch.drop()
     return ToxicityModel(log_ratios(counts.sum(0)), weights)

@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -212,5 +213,38 @@ def test_toxicity_awkward(awkward, empty, spark):
     assert {r.score for r in toxicity.score(awkward, toxicity.fit(awkward, labels.filter("toxic = 0"))).collect()} != {0.5}
 
 
+def toxic_by_fold(fold, count):
+    """120 texts; ``count`` of them toxic, with words of their own, all in the given training fold."""
+    chosen = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 == fold][:count]
+    docs = [(i, f"plain words number{i} of any day" + (" foul vile nasty rotten slur" * 3 if i in chosen else "")) for i in range(120)]
+    return chosen, docs, [(i, int(i in chosen)) for i in range(120)]
+
+
+@pytest.mark.parametrize("fold, count, turned", [(0, 1, False), (2, 1, False), (0, 4, False), (2, 4, True)])
+def test_toxicity_class_in_one_fold(spark, fold, count, turned):
+    chosen, docs, marks = toxic_by_fold(fold, count)
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - t if turned else t) for i, t in marks], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(got) == 120 and np.isfinite(model.ratios).all() and all(0 <= s <= 1 for s in got.values())
+    if count > 1:
+        inside, outside = [got[i] for i in chosen], [s for i, s in got.items() if i not in chosen]
+        assert max(inside) < min(outside) if turned else min(inside) > max(outside)
+
+
+def test_toxicity_class_without_words(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else f"plain word{i}") for i in range(60)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_toxicity_curve_sample_keeps_both_classes(spark):
+    docs = spark.createDataFrame([(i, f"plain word{i % 7} " + ("foul slur" if i % 100 < 2 else "calm")) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 < 2)) for i in range(3000)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels, curve_rows=40)).collect()}
+    assert min(s for i, s in got.items() if i % 100 < 2) > 0.5 > max(s for i, s in got.items() if i % 100 >= 2)
+
+
 def test_tokenizer_files_are_there():
     assert public_tokenizers.path("byte_bpe_50k.json")
