@@ -14,7 +14,10 @@ rows. Rows that repeat an id are packed each. An empty table gives no pieces. On
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from functools import cache
+from pathlib import PurePath
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pluvia.session import Scratch
 
-DIMENSIONS, KEY_BITS, HASH_SIZE = 3, 10, 1 << 12
+DIMENSIONS, KEY_BITS, HASH_SIZE, LONG_WHITE = 3, 10, 1 << 12, 100_000
 
 
 def token_encoder(ranks_path: str, pattern: str):
@@ -32,14 +35,29 @@ def token_encoder(ranks_path: str, pattern: str):
 
     ``ranks_path`` has a byte-level BPE vocabulary as lines of base64 bytes and rank, ``pattern`` is what texts are split
     by first. The ids are those of the tokenizer with the same vocabulary in the ``tokenizers`` library, which takes
-    three times as long; the tests compare the two.
+    three times as long; the tests compare the two. The rank encoder fails on white-space runs near a million characters,
+    so texts with a run of ``LONG_WHITE`` go whole through that library's file, which lies beside ``ranks_path``.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: np.array(encode(text), dtype="<u4").tobytes()
+    long_white = re.compile(rf"(?<!\s)\s{{{LONG_WHITE}}}").search
+
+    @cache
+    def slow() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(str(PurePath(ranks_path).with_suffix(".json")))
+        tokenizer.encode_special_tokens = True  # the names of added tokens are text, as in the rank encoder
+        return tokenizer
+
+    def ids(text: str) -> list[int]:
+        if len(text) >= LONG_WHITE and long_white(text):
+            return slow().encode(text, add_special_tokens=False).ids
+        return encode(text)
+
+    return lambda text: np.array(ids(text), dtype="<u4").tobytes()
 
 
 def projection(vocabulary: int, seed: int = 7) -> np.ndarray:

@@ -55,6 +55,12 @@ def test_packing_awkward(awkward, empty, spark):
     check_pieces(queries.pack_documents(special).collect(), [(1, plain_ids(["a <|endoftext|> b"])[0])])
 
 
+def test_packing_long_white_space(spark):
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b c", "a " + " \n" * 500_000 + " b", "\xa0" * 1_000_000, " " * 99_999 + "x", "x" + " " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(queries.pack_documents(docs).collect(), list(enumerate(plain_ids(texts))))
+
+
 def test_packed_sequences(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
