@@ -79,9 +79,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[Span]:
-    """All proposed spans of the added kinds; they may overlap one another."""
-    at = re.search(r"[0-9]|[(\[{](?:at|AT)[)\]}]", text)
-    return [Span(kind, *m.span()) for kind, pattern in GENERATORS.items() for m in pattern.finditer(text)] if at else []
+    """All proposed spans of the added kinds; they may overlap one another.
+
+    A generator is passed over only where its own pattern can't match.
+    """
+    digit = re.search("[0-9]", text) is not None
+    words = ("at" in text or "AT" in text) and ("dot" in text or "DOT" in text)
+    can = {"secret": True, "contact": digit or words, "account": digit, "identity": digit}
+    return [Span(kind, *m.span()) for kind, pattern in GENERATORS.items() if can[kind] for m in pattern.finditer(text)]
 
 
 def features(text: str, span: Span) -> list[float]:

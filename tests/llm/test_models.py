@@ -180,6 +180,14 @@ def test_quality_uses_no_python(spark, sf_dir):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_pii_candidates_need_no_digit_elsewhere():
+    found = pii.Detector.fit(texts=600)
+    for text in ("write to john at example dot com", "mail JOHN AT EXAMPLE DOT COM", "password = abcdefghijklmnopqrstuvwx", "token: 'QwErTyUiOpAsDfGhJkLzXcVbNm'", "plain words"):
+        assert pii.candidates(text) == [pii.Span(k, *m.span()) for k, pattern in pii.GENERATORS.items() for m in pattern.finditer(text)]
+        assert found.spans(text) == found.spans(text + " and some more words that stand between, then 7")
+    assert pii.candidates("write to john at example dot com") and pii.candidates("password = abcdefghijklmnopqrstuvwx")
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
