@@ -5,7 +5,7 @@ tag, attribute tokens, depth, text, link and punctuation density of its subtree,
 trees give the log odds that it is main text. Decoding takes the best choice for the whole tree under one rule: what is
 below a block taken as main is main, what is below one taken as boilerplate is boilerplate, and only below a block left
 open do the children choose. So no block contradicts its ancestors. Elements that can't hold an article (scripts, styles,
-forms and the like) are left out before.
+buttons and the like) are left out before, up to where they end or an enclosing block does; forms are blocks.
 
 The trees are fitted on ``TRAINING_PAGES`` pages made by :func:`example_page`, in which the article is known; no crawled
 pages are used.
@@ -30,9 +30,19 @@ from pluvia.llm import boosting
 
 # Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("script style noscript template head title iframe svg math button select textarea object canvas audio video datalist form dialog".split())
+LEFT_OUT = frozenset("script style noscript template title iframe svg math button select textarea object canvas audio video datalist dialog".split())
+RAW = frozenset("script style title iframe textarea".split())  # hold no elements
+FOREIGN = frozenset("svg math".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small"
+    " span strong strike sub sup table tt u ul var".split()
+)
+HTML_IN_FOREIGN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_SELECT = frozenset("select input textarea button".split())
+HEAD = frozenset("head base basefont bgsound link meta".split())  # besides those left out; they add nothing to the tree
+CELLS = frozenset("caption tbody td tfoot th thead tr".split())
 BLOCKS = frozenset(
-    "html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header"
+    "html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body tbody td tfoot th thead tr caption".split())
@@ -46,7 +56,7 @@ GROUPS = {
     "talk": ("comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "reviews", "share", "social"),
     "main": ("article", "main", "content", "post", "entry", "story", "body", "text", "page"),
 }
-TAGS = ("p", "div", "li", "ul", "h1", "h2", "td", "section", "article", "main", "nav", "aside", "header", "footer", "blockquote", "pre")
+TAGS = ("p", "div", "li", "ul", "h1", "h2", "td", "section", "article", "main", "nav", "aside", "header", "footer", "blockquote", "pre", "form")
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 TRAINING_PAGES, OPEN_COST = 600, 1.0
 ARTICLE = "\ue000"  # marks article text in made-up pages; no page has it
@@ -74,7 +84,7 @@ class Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Block("html", frozenset(), None, 0)
         self.blocks, self.at = [self.root], self.root
-        self.left_out: list[str] = []
+        self.left_out: list[str] = []  # the element left out and those open in it
         self.in_link = 0
 
     def updatepos(self, i, j):
@@ -82,13 +92,13 @@ class Reader(HTMLParser):
         return j
 
     def handle_starttag(self, tag, attrs):
-        if self.left_out:
-            if tag == self.left_out[-1] and tag not in VOID:
+        if self.left_out and not self._ends_left_out(tag):
+            if tag not in VOID and (self.left_out[-1] not in RAW or self.left_out[0] in FOREIGN):
                 self.left_out.append(tag)
-            elif not (tag == "body" and self.left_out[0] == "head"):
-                return
-            else:
-                self.left_out = []
+            return
+        self.left_out = []
+        if tag in HEAD or tag == "form" and any(b.tag == "form" for b in self._open()):
+            return
         if tag in LEFT_OUT:
             self.left_out.append(tag)
             return
@@ -113,14 +123,32 @@ class Reader(HTMLParser):
             self.in_link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in LEFT_OUT:
+        if tag not in LEFT_OUT and not (self.left_out and self.left_out[0] in FOREIGN and tag not in ENDS_FOREIGN):
             self.handle_starttag(tag, attrs)
 
+    def _ends_left_out(self, tag: str) -> bool:
+        """Whether a start tag ends the element left out."""
+        first = self.left_out[0]
+        if first in RAW or first == "template":
+            return False
+        if first in FOREIGN:
+            return tag in ENDS_FOREIGN and HTML_IN_FOREIGN.isdisjoint(self.left_out)
+        if tag in CELLS and "table" not in self.left_out:
+            return any(b.tag in CELLS for b in self._open())
+        return first == "button" and tag == "button" or first == "select" and tag in ENDS_SELECT
+
     def handle_endtag(self, tag):
         if self.left_out:
-            if tag == self.left_out[-1]:
-                self.left_out.pop()
-        elif tag in BLOCKS:
+            if self.left_out[-1] in RAW and self.left_out[0] not in FOREIGN and tag != self.left_out[-1]:
+                return
+            if tag in self.left_out:
+                while self.left_out.pop() != tag:
+                    pass
+                return
+            if self.left_out[0] == "template" or tag not in BLOCKS or not any(b.tag == tag and b.parent for b in self._open()):
+                return
+            self.left_out = []
+        if tag in BLOCKS:
             self._end({tag}, set())
         elif tag == "a":
             self.in_link = max(0, self.in_link - 1)
@@ -335,6 +363,8 @@ def example_page(draw: np.random.Generator) -> str:
     low = "".join(pick(below)() for _ in range(int(draw.integers(0, 4))))
     inside = below[1]() if chance(0.15) else ""
     body = top + f"<{tag}{named}>{article()}{inside}</{tag}>" + low
+    if chance(0.1):
+        body = pick(("<form>{}</form>", '<form id="form1" action="/">{}</form>')).format(body)
     if chance(0.4):
         body = pick(('<div class="wrap">{}</div>', "<div>{}</div>", "<main>{}</main>", '<div id="page"><div>{}</div></div>')).format(body)
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{body}{foot() if chance(0.9) else ''}</body></html>"

@@ -188,6 +188,43 @@ def test_pii_candidates_need_no_digit_elsewhere():
     assert pii.candidates("write to john at example dot com") and pii.candidates("password = abcdefghijklmnopqrstuvwx")
 
 
+SIDES = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav>", "<footer>&copy; all rights</footer>"
+STORY = "<article><h1>A title of it</h1><p>Some words of the story, and more of them, as it goes on.</p><p>A last line with words, too.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div><form><input></div>{}",
+        "<div><form><form></form></div>{}",
+        *(f"<div><{tag}></div>{{}}" for tag in ("select", "button", "svg", "object", "canvas", "audio", "video", "datalist", "dialog", "math", "noscript")),
+        "<div><select><option>one</div>{}",
+        "<svg><path d='z'/><circle>{}".replace("{}", "<div>{}</div>"),
+        "<table><tr><td><button>x<td></table>{}",
+        "<div><button><div>x</div>y</div>{}",
+        "<object><object></object></object>{}",
+        "<form id='form1'>{}</form>",
+        "<form>{}",
+    ],
+)
+def test_html_unclosed_left_out(trees, page):
+    html_page = "<html><head><title>T</title></head><body>" + SIDES[0] + page.format(STORY) + SIDES[1] + "</body></html>"
+    text = html_extract.main_texts(trees, [html_page])[0]
+    assert text == "A title of it\nSome words of the story, and more of them, as it goes on.\nA last line with words, too."
+
+
+@pytest.mark.parametrize("head", ["<html><head><title>T</title><meta charset='utf-8'>", "<html><head><title>T</title>\n", "<title>T</title>", "<html><head>"])
+def test_html_head_without_end(trees, head):
+    text = html_extract.main_texts(trees, [head + STORY])[0]
+    assert text == "A title of it\nSome words of the story, and more of them, as it goes on.\nA last line with words, too."
+
+
+def test_html_left_out_stays_left_out():
+    page = "<div><button>a<div>b</div>c</button>d<select><option>e</select>f<svg><title>g</title><text>h</text></svg>i<template><div>j</template>k<title>l<title></title>m</div>n"
+    words = [r for b in html_extract.read_page(page) for r in b.runs if isinstance(r, str)]
+    assert sorted("".join(words)) == list("dfikmn")
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
