@@ -12,7 +12,9 @@ A batch of new documents is merge-joined with the runs, which stay where they ar
   themselves, and those that an earlier document has repeat. This verifies every link that contexts alone don't decide.
 
 Then the batch's new pairs become a run, and the runs are compacted to one when there are more than ``max_runs``.
-Batches come in order of id, so "earlier" is "smaller id". Digests are of the words' bytes; a pair has 128 bits, and a
+Batches come in order of id, so within a call "earlier" is "smaller id"; what a given index holds from earlier calls is
+earlier than all rows of a call. An index that outlives a call keeps the digests of each pair's windows (16 bytes each,
+about eighteen a pair), so that no earlier text is needed again; one of a single call reads the texts. Digests are of the words' bytes; a pair has 128 bits, and a
 digested window 128.
 
 Defined results: null and word-less texts have no words. Texts shorter than a window lose nothing. Rows that repeat an id
@@ -164,8 +166,9 @@ def _windows(texts: DataFrame, held: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs of (anchor hash, context) pairs with the place of their first holder."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, max_runs: int = 1):
-        self.spark, self.max_runs = spark, max_runs
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, max_runs: int = 1, keep_windows: bool = True):
+        self.spark, self.max_runs, self.keep_windows = spark, max_runs, keep_windows
+        self.columns = ["h", "ctx", *PLACE, *(["turn", "digests"] if keep_windows else [])]
         self.name = name or f"fingerprint_index_{uuid.uuid4().hex[:12]}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.made = 0
@@ -177,16 +180,20 @@ class FingerprintIndex:
     def add_run(self, pairs: DataFrame) -> None:
         self.made += 1
         name = f"{self.name}_run{self.made:06d}_{uuid.uuid4().hex[:6]}"
-        dealt = pairs.select("h", "ctx", *PLACE).repartition(self.buckets, "h")
+        dealt = pairs.select(*self.columns).repartition(self.buckets, "h")
         dealt.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h", "ctx").saveAsTable(name)
 
+    def turn(self) -> int:
+        """Number of the next batch; those of a batch are earlier than those of the batches after it."""
+        return max((self.spark.table(name).agg(F.max("turn").alias("t")).first().t or 0 for name in self.runs()), default=0) + 1
+
     def compact(self) -> None:
         """Merge the runs to one; no pair is in two of them."""
         old = self.runs()
         if len(old) > self.max_runs:
-            whole = self.spark.table(old[0])
+            whole = self.spark.table(old[0]).select(*self.columns)
             for name in old[1:]:
-                whole = whole.union(self.spark.table(name))
+                whole = whole.union(self.spark.table(name).select(*self.columns))
             self.add_run(whole)
             for name in old:
                 self.spark.sql(f"DROP TABLE {name} PURGE")
@@ -211,28 +218,44 @@ def _batch(rows: DataFrame, texts: DataFrame, index: FingerprintIndex, scratch:
     found = scratch.write(find_anchors(rows), f"anchors-{tag}")
     pairs = _first_holders(found, index, scratch, tag)
     fresh = pairs.filter("new").select("h", "ctx", *PLACE)
-    several = fresh.groupBy("h").agg(F.count("*").alias("n"))
-    history = [index.spark.table(name).select("h", "ctx", *PLACE) for name in index.runs()]
+    turn = index.turn() if index.keep_windows else 0
+    # a kept index may hold a row of this batch from an earlier call: its old pairs are looked at again
+    several = (pairs if index.keep_windows else pairs.filter("new")).groupBy("h").agg(F.count_if("new").alias("n"))
+    history = [index.spark.table(name).select(*index.columns) for name in index.runs()]
     for run in history:
         several = several.join(run.groupBy("h").agg(F.count("*").alias("more")), "h", "left").select("h", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
     several = scratch.write(several.filter("n > 1").select("h"), f"several-{tag}")
-    held = fresh.join(several, "h", "left_semi")
-    for run in history:
-        held = held.union(run.join(several, "h", "left_semi"))
-    windows = scratch.write(_windows(texts, held), f"windows-{tag}")
-    firsts = windows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    firsts = scratch.write(firsts.filter("n > 1"), f"firsts-{tag}")
-    again = skewed_lookup(windows, firsts, "digest", "n", windows.count()).filter("id > first_id")
+    if index.keep_windows:
+        own = scratch.write(_windows(texts, fresh), f"own-{tag}")
+        packed = own.groupBy("h", "ctx").agg(F.array_sort(F.collect_list(F.struct("rel", "digest"))).alias("d"))  # at most WINDOW
+        digests = F.aggregate("d", F.lit(b""), lambda a, x: F.concat(a, x["digest"])).alias("digests")
+        fresh = fresh.join(packed.select("h", "ctx", digests), ["h", "ctx"]).withColumn("turn", F.lit(turn).cast("long"))
+        windows = own.join(several, "h", "left_semi").withColumn("turn", F.lit(turn).cast("long"))
+        for run in history:
+            old = run.join(several, "h", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("e") - F.col("s")).cast("int"))))
+            digest = F.expr("substring(digests, 16 * k + 1, 16)").alias("digest")
+            windows = windows.union(old.select("h", "ctx", "id", (F.col("s") - F.col("pos") + F.col("k")).alias("rel"), digest, "turn"))
+    else:
+        held = fresh.join(several, "h", "left_semi")
+        for run in history:
+            held = held.union(run.join(several, "h", "left_semi"))
+        windows = _windows(texts, held).withColumn("turn", F.lit(0).cast("long"))
+    windows = scratch.write(windows, f"windows-{tag}")
+    firsts = windows.groupBy("digest").agg(F.min(F.struct("turn", "id")).alias("first"), F.count("*").alias("n"))
+    firsts = firsts.filter("n > 1").select("digest", F.col("first.turn").alias("first_turn"), F.col("first.id").alias("first_id"), "n")
+    firsts = scratch.write(firsts, f"firsts-{tag}")
+    again = skewed_lookup(windows, firsts, "digest", "n", windows.count())
+    again = again.filter("id <> first_id AND (turn > first_turn OR turn = first_turn AND id > first_id)")
     again = scratch.write(again.groupBy("h", "ctx").agg(F.collect_set("rel").alias("rels")), f"again-{tag}")  # at most WINDOW
-    first = pairs.select("h", "ctx", F.col("id").alias("first_id"), "n")
+    first = pairs.select("h", "ctx", F.col("id").alias("first_id"), "new", "n")
     placed = skewed_lookup(found, first, ["h", "ctx"], "n", found.count())
-    whole = placed.filter("first_id < id").select("id", "th", F.col("s").alias("start"), (F.col("e") + WINDOW).alias("end"))
+    whole = placed.filter("id <> first_id AND (NOT new OR first_id < id)").select("id", "th", F.col("s").alias("start"), (F.col("e") + WINDOW).alias("end"))
     some = placed.filter("first_id = id").join(again, ["h", "ctx"]).withColumn("rel", F.explode("rels"))
     some = some.select("id", "th", (F.col("pos") + F.col("rel")).alias("start"), (F.col("pos") + F.col("rel") + WINDOW).alias("end"))
     stretches = scratch.write(whole.union(some), f"stretches-{tag}")
     index.add_run(fresh)
     index.compact()
-    for name in ("anchors", "pairs", "several", "windows", "firsts", "again"):
+    for name in ("anchors", "pairs", "several", "windows", "firsts", "again", *(["own"] if index.keep_windows else [])):
         scratch.drop(f"{name}-{tag}")
     return stretches
 
@@ -242,14 +265,15 @@ def remove_repeats(
 ) -> DataFrame:
     """id, n_words, n_removed and text (the kept words, joined by one space) of each row.
 
-    The rows go through the index as ``batches`` batches in order of id.
+    The rows go through the index as ``batches`` batches in order of id. A given ``index`` lives on: what it holds from
+    earlier calls is removed from these rows, whatever their ids.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     rows = _rows(docs, id_col, text_col)
     cuts = rows.agg(F.percentile_approx("id", [(i + 1) / batches for i in range(batches - 1)]).alias("c")).first().c
     edges = [None, *sorted(set(cuts or [])), None]
-    own = index or FingerprintIndex(spark)
+    own = index or FingerprintIndex(spark, keep_windows=False)
     co_located = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(co_located)
     spark.conf.set(co_located, "false")  # buckets by anchor hash serve joins by anchor hash and context

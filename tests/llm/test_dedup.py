@@ -191,6 +191,21 @@ def test_windows_index_lives_on(spark):
     index.drop()
 
 
+def test_windows_index_finds_passages_of_earlier_calls(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = words("p", 60)
+    first = [(5, f"{words('a', 90)} {passage} {words('b', 90)}")]
+    second = [(7, f"{words('c', 90)} {passage} {words('d', 90)}"), (2, f"{words('e', 30)} {passage}"), (8, words("f", 200))]
+    third = [(1, f"{passage} {words('g', 90)}"), (9, f"{words('f', 200)} {words('h', 60)}"), second[0], first[0]]
+    index = substring_dedup.FingerprintIndex(spark, "test_calls", 4)
+    got = []
+    for docs in (first, second, third):
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        got.append({r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame, index=index, batches=2).collect()})
+    assert got == [{5: 0}, {7: 60, 2: 60, 8: 0}, {1: 60, 9: 200, 7: 60, 5: 0}]
+    index.drop()
+
+
 def test_windows_awkward(awkward, empty):
     want = plain_removal([(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
     got = substring_dedup.remove_repeats(awkward).collect()
