@@ -1,22 +1,23 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-An expression is a case-folded run of word characters, seen as a stem (its first ``STEM`` characters) and an ending.
-Stems are hashed to ``STEMS`` cells, and endings to ``ENDINGS`` cells of their stem. For each class c
+An expression is a case-folded word (a run of word characters); its lower order is its stem, the first ``STEM``
+characters. For each class c, with modified Kneser-Ney discounts D taken from the class's counts of counts,
 
-    P_c(stem)          = (max(n_c(stem) - D, 0) + left_c P(stem)) / n_c
-    P_c(ending | stem) = (max(n_c(stem, ending) - D, 0) + left_c(stem) P(ending | stem)) / n_c(stem)
+    P_c(word) = (n_c(word) - D) / N_c + left_c P_c(stem) P(word | stem)
+    P_c(stem) = (n_c(stem) - D) / N_c + left_c P(stem)
 
-where "left" is the count taken off by the discount D and the backoff distributions P are the same for both classes:
-they come from the pooled counts and, below those, from the share of distinct endings. So a rare expression gives
-nearly the same probability in both models and says little, and an unseen form of a known stem says what its stem says.
-A text's evidence is the mean log-ratio an expression (toxic over ordinary), the mean and the largest ratio above
-``STRONG``, the largest mean over a window, and the log length; a logistic curve over these gives the score.
+where "left" is the share that the discounts take off. The backoff distributions are the same for both classes:
+P(stem) is the stem's continuation count (how many different words begin with it) and P(word | stem) comes from the
+pooled counts. So a rare expression gives nearly the same probability in both models and says little, an unseen form of a
+known stem says what its stem says, and words of unseen stems all say the same. A text's evidence is the mean log-ratio
+of its words (the length-normalised log-likelihood, toxic less ordinary), the same over its worst passage, the mean and
+the largest ratio above ``STRONG``, and the log length; a logistic curve over these gives the score.
 
-Counts are taken from all labelled training rows, however many; as words are hashed, the counts are at most
-``STEMS * ENDINGS`` rows and the broadcast table of log-ratios has a fixed size. The curve alone is fitted on a sample
-of about ``curve_rows`` training rows, each scored by the counts of the half that it isn't in. The sample is drawn per
-class, and weights restore the classes' shares. The halves are the two training folds; if a class has words in one of
-them alone, ids are dealt to halves anew.
+Counts are exact, from all labelled training rows, and stay in a Spark table that grows with the corpus; words are named
+by 64-bit hashes. Scoring reads the most frequent expressions, ``hot`` at most, from a broadcast; a text with other words
+gets their ratios by a join. The curve alone is fitted on a sample of about ``curve_rows`` training rows, each scored by
+the counts of the half that it isn't in. The sample is drawn per class, and weights restore the classes' shares. The
+halves are the two training folds; if a class has words in one of them alone, ids are dealt to halves anew.
 
 Defined results: null, empty and word-less texts get the score of no evidence. Several labels of one id: toxic if any
 is. Null labels are no labels. Without a toxic or without an ordinary training row, or where a class has words under
@@ -27,67 +28,65 @@ toxic share (0.5 without rows). Rows that repeat an id are scored each. Score in
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.operators.skew import skewed_lookup
 from pluvia.session import Scratch
 
-STEM, STEMS, ENDINGS, DISCOUNT, WINDOW, STRONG = 5, 1 << 14, 1 << 6, 3.0, 20, 1.5
-CELLS = STEMS * ENDINGS
-FOLDS = 3
+STEM, WINDOW, STRONG, FOLDS = 5, 20, 1.5, 3
+UNSEEN_FORM = 1 / 64  # what an unseen form of a stem counts as in P(word | stem)
+HOT = 1 << 19
+SETS = ("first", "second", "all")  # counts of either half, and of both
 
 
-class Cells(dict):
-    """Hash cells of words, kept while there is room."""
+def hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+
+
+def hashed_stems(words: list[str]) -> np.ndarray:
+    return hashed([f"{w[:STEM]}*" for w in words])  # no word has the mark
+
+
+class Vocabulary(dict):
+    """Places of words in the list ``words``; to be emptied when it gets large."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most, self.words = most, []
+        self.find = re.compile(r"\w+").findall
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        stem, ending = (zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word[:STEM], word[STEM:]))
-        cell = self[word] = stem % STEMS * ENDINGS + ending % ENDINGS
-        return cell
-
-
-def reader() -> Callable[[str | None], np.ndarray]:
-    """A function from a text to the cells of its words."""
-    words, find = Cells(), re.compile(r"\w+").findall
-    return lambda text: np.fromiter(map(words.__getitem__, find((text or "").lower())), dtype=np.int64)
-
-
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Log of toxic over ordinary probability of every cell; ``counts`` has the classes' counts by cell."""
-    n = counts.reshape(2, STEMS, ENDINGS).astype(np.float64)
-    pooled = n.sum(0)
-    stems = pooled.sum(1)
-    endings = (n > 0).sum((0, 2)) + 0.5  # half an ending for stems never seen
-    off = np.minimum(stems, 1.0)
-    stem_base = (stems - off + off.sum() * endings / endings.sum()) / max(stems.sum(), 1.0)
-    ending_base = (pooled + 1 / ENDINGS) / (stems + 1)[:, None]
-    models = []
-    for c in n:
-        seen = c.sum(1)
-        off = np.minimum(seen, DISCOUNT)
-        stem = (seen - off + off.sum() * stem_base) / max(seen.sum(), 1.0)
-        off = np.minimum(c, DISCOUNT)
-        left = np.where(seen > 0, off.sum(1) / np.maximum(seen, 1), 1.0)
-        models.append(np.log(stem)[:, None] + np.log((c - off) / np.maximum(seen, 1)[:, None] + left[:, None] * ending_base))
-    return (models[0] - models[1]).astype(np.float32).reshape(-1)
+        at = self[word] = len(self.words)
+        self.words.append(word)
+        return at
+
+    def full(self) -> bool:
+        return len(self) >= self.most
+
+    def clear(self) -> None:
+        super().clear()
+        self.words = []
+
+    def places(self, text: str | None) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, self.find((text or "").lower())), dtype=np.int64)
 
 
 EVIDENCE = 5
 
 
-def evidence(ratios: np.ndarray, cells: np.ndarray) -> tuple[float, ...]:
+def evidence(r: np.ndarray) -> tuple[float, ...]:
     """What a text's log-ratios say; a text shorter than a window is taken as padded by zeros."""
-    if not len(cells):
+    if not len(r):
         return (0.0,) * EVIDENCE
-    r = ratios[cells].astype(np.float64)
+    r = r.astype(np.float64)
     sums, width = np.concatenate(([0.0], np.cumsum(r))), min(WINDOW, len(r))
     strong = np.maximum(r - STRONG, 0)
     return float(r.mean()), float((sums[width:] - sums[:-width]).max() / WINDOW), float(np.log1p(len(r))), float(strong.mean()), float(strong.max())
@@ -134,39 +133,212 @@ def _halves(train: DataFrame) -> Column | None:
     return None
 
 
-def _counts(train: DataFrame) -> np.ndarray:
-    """Counts by half, class (toxic, ordinary) and cell, summed on the executors."""
+def _counts(train: DataFrame) -> DataFrame:
+    """Words by key: stem and counts of toxic and ordinary rows, by half (first_t, first_o, second_t, second_o)."""
+    names = [f"{s}_{c}" for s in SETS[:2] for c in "to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, open_, total = reader(), zstandard.ZstdDecompressor(), np.zeros((4, CELLS), dtype=np.int64)
+        words, open_, total = Vocabulary(), zstandard.ZstdDecompressor(), np.zeros((1024, 4), dtype=np.int64)
+
+        def held() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(words), 1 << 16):
+                part = words.words[i : i + (1 << 16)]
+                columns = [hashed(part), hashed_stems(part), *total[i : i + len(part)].T]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "stem", *names])
+
         for batch in batches:
             for packed, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found, n = np.unique(cells(open_.decompress(packed).decode("utf-8", "surrogatepass")), return_counts=True)
-                total[half * 2 + (toxic == 0), found] += n
-        at = np.nonzero(total.any(0))[0]
-        for i in range(0, len(at), 1 << 16):
-            k = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, total[:, k])], ["cell", "a", "b", "c", "d"])
-
-    rows = train.select("packed", "toxic", "half").mapInArrow(run, "cell long, a long, b long, c long, d long")
-    summed = rows.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most CELLS rows
-    out = np.zeros((4, CELLS), dtype=np.int64)
-    for i, c in enumerate("abcd"):
-        out[i, summed.column("cell").to_numpy()] = summed.column(c).to_numpy()
-    return out.reshape(2, 2, CELLS)
+                found, n = np.unique(words.places(open_.decompress(packed).decode("utf-8", "surrogatepass")), return_counts=True)
+                if len(total) < len(words):
+                    total = np.concatenate((total, np.zeros((len(words), 4), dtype=np.int64)))
+                total[found, half * 2 + (toxic == 0)] += n
+                if words.full():
+                    yield from held()
+                    words.clear()
+                    total[:] = 0
+        yield from held()
+
+    rows = train.select("packed", "toxic", "half").mapInArrow(run, "key long, stem long, " + ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("key", "stem").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _every_set(counted: DataFrame) -> DataFrame:
+    return counted.withColumns({f"all_{c}": F.col(f"first_{c}") + F.col(f"second_{c}") for c in "to"})
+
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> list[float]:
+    """Modified Kneser-Ney discounts of counts of one, of two and of more, from counts of counts (Chen and Goodman 1999)."""
+    n1, n2, n3, n4 = (max(n, 1) for n in (ones, twos, threes, fours))
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(d, 0.1), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+
+class Order:
+    """Discounts and the share they take off, of one class in one set of counts."""
+
+    def __init__(self, kept: int, ones: int, twos: int, threes: int, fours: int, total: int):
+        self.d, self.total = discounts(ones, twos, threes, fours), max(total, 1)
+        self.left = (self.d[0] * ones + self.d[1] * twos + self.d[2] * (kept - ones - twos)) / self.total
+
+    def rest(self, count: str) -> Column:
+        """The share that a count keeps."""
+        off = F.when(F.col(count) == 1, self.d[0]).when(F.col(count) == 2, self.d[1]).otherwise(self.d[2])
+        return F.when(F.col(count) > 0, (F.col(count) - off) / self.total).otherwise(0.0)
+
+
+def _orders(counted: DataFrame) -> dict[str, Order]:
+    columns = [f"{s}_{c}" for s in SETS for c in "to"]
+    tests = lambda c: [F.count_if(F.col(c) > 0), *(F.count_if(F.col(c) == k) for k in (1, 2, 3, 4)), F.sum(c)]
+    row = counted.agg(*[t for c in columns for t in tests(c)]).first()
+    return {c: Order(*(v or 0 for v in row[6 * i : 6 * i + 6])) for i, c in enumerate(columns)}
+
+
+def _ratios(words: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
+    """key, n and the log-ratio by each set of counts, of words and of stems (what an unseen form of them says); and by
+    set what a word of an unseen stem says."""
+    forms = [F.count_if(F.col(f"{s}_t") + F.col(f"{s}_o") > 0).alias(f"{s}_forms") for s in SETS]
+    stems = scratch.write(words.groupBy("stem").agg(F.count("*").alias("forms"), *forms, *[F.sum(f"{s}_{c}").alias(f"{s}_{c}") for s in SETS for c in "to"]), "stems")
+    of_words, of_stems = _orders(words), _orders(stems)
+    sums = stems.agg(F.sum("forms").alias("forms"), *[F.sum(f"{s}_forms").alias(s) for s in SETS]).first()
+    stem_probability, unseen = {}, {}
+    for s in SETS:
+        base = (F.col(f"{s}_forms") + 0.5) / float((sums[s] or 0) + 1)
+        for c in "to":
+            stem_probability[f"{s}_{c}"] = of_stems[f"{s}_{c}"].rest(f"{s}_{c}") + of_stems[f"{s}_{c}"].left * base
+        unseen[s] = float(np.log(of_words[f"{s}_t"].left * of_stems[f"{s}_t"].left / (of_words[f"{s}_o"].left * of_stems[f"{s}_o"].left)))
+    stems = stems.select(
+        "stem", "forms", *[p.alias(f"p_{name}") for name, p in stem_probability.items()], *[(F.col(f"{s}_t") + F.col(f"{s}_o")).alias(f"{s}_stem") for s in SETS]
+    )
+    placed = skewed_lookup(words, stems, "stem", "forms", sums.forms or 0)
+
+    def probability(s: str, c: str) -> Column:
+        form = (F.col(f"{s}_t") + F.col(f"{s}_o") + UNSEEN_FORM) / (F.col(f"{s}_stem") + 1)
+        return of_words[f"{s}_{c}"].rest(f"{s}_{c}") + of_words[f"{s}_{c}"].left * F.col(f"p_{s}_{c}") * form
+
+    n = (F.col("all_t") + F.col("all_o")).alias("n")
+    known = placed.select("key", n, *[F.ln(probability(s, "t") / probability(s, "o")).cast("float").alias(s) for s in SETS])
+    kin = stems.select(
+        F.col("stem").alias("key"), F.col("all_stem").alias("n"),
+        *[F.ln(of_words[f"{s}_t"].left * F.col(f"p_{s}_t") / (of_words[f"{s}_o"].left * F.col(f"p_{s}_o"))).cast("float").alias(s) for s in SETS],
+    )
+    return scratch.write(known.unionByName(kin), "ratios"), unseen
 
 
 class ToxicityModel:
-    """A table of log-ratios and the curve over the evidence."""
-
-    def __init__(self, ratios: np.ndarray, weights: np.ndarray):
-        self.ratios, self.weights = ratios, weights
+    """Log-ratios of all expressions (a table, null for a constant model), those of unseen stems, and the curve."""
+
+    def __init__(self, ratios: DataFrame | None, unseen: dict[str, float], weights: np.ndarray, hot: int = HOT):
+        self.ratios, self.unseen, self.weights, self.hot = ratios, unseen, weights, hot
+
+    @cached_property
+    def hottest(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Sorted keys and ratios (a column a set) of the most frequent expressions, and whether these are all."""
+        size = F.floor(F.log2("n") * 8).cast("int")
+        steps = sorted(self.ratios.groupBy(size.alias("size")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["size"])  # 512 rows at most
+        total, least = 0, None
+        for step in steps:
+            if total + step.k > self.hot:
+                break
+            total, least = total + step.k, step["size"]
+        got = self.ratios.filter(size >= least if least is not None else F.lit(False)).select("key", *SETS).toArrow()  # ``hot`` rows at most
+        keys = got.column("key").to_numpy()
+        order = np.argsort(keys)
+        return keys[order], np.column_stack([got.column(s).to_numpy() for s in SETS])[order], total == sum(s.k for s in steps)
+
+
+class Lookup:
+    """Ratios of a text's words; NaN where only the table knows."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, whole: bool, unseen: float):
+        self.keys, self.values, self.whole, self.unseen = keys, ratios, whole, unseen
+        self.words, self.known, self.filled = Vocabulary(), np.zeros(1024, np.float32), 0
+
+    def _of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of a text's words and their places in the vocabulary."""
+        if self.words.full():
+            self.words.clear()
+            self.filled = 0
+        at = self.words.places(text)
+        if self.filled < len(self.words):
+            new = self.words.words[self.filled :]
+            found = self._of(hashed(new))
+            if self.whole:
+                rest = np.nonzero(np.isnan(found))[0]
+                kin = self._of(hashed_stems([new[i] for i in rest]))
+                found[rest] = np.where(np.isnan(kin), self.unseen, kin)
+            if len(self.known) < len(self.words):
+                self.known = np.concatenate((self.known, np.zeros(len(self.words), np.float32)))
+            self.known[self.filled : len(self.words)] = found
+            self.filled = len(self.words)
+        return self.known[at], at
+
+
+ROW, X, LEFT, COLD, TEXT = (f"__toxicity_{name}__" for name in ("row", "evidence", "left", "cold", "text"))
+COLD_TYPE = "array<struct<pos: int, key: long, stem: long>>"
+
+
+def _with_evidence(rows: DataFrame, text_col: str, keep: list[str], model: ToxicityModel, which: str, scratch: Scratch, packed: bool = False) -> DataFrame:
+    """The columns ``keep`` of each row, and its text's evidence.
+
+    A row whose words aren't all in the broadcast gets the others by a join on their keys, and then on the row's number.
+    """
+    keys, ratios, whole = model.hottest
+    shared = rows.sparkSession.sparkContext.broadcast((keys, np.ascontiguousarray(ratios[:, SETS.index(which)]), whole, model.unseen[which]))
+    cold_type = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("stem", pa.int64())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, open_ = Lookup(*shared.value), zstandard.ZstdDecompressor()
+        for batch in batches:
+            found, left, cold = [], [], []
+            for text in batch.column(0):
+                text = open_.decompress(text.as_py()).decode("utf-8", "surrogatepass") if packed else text.as_py()
+                r, at = lookup(text)
+                open_at = np.nonzero(np.isnan(r))[0]
+                found.append(None if len(open_at) else evidence(r))
+                left.append(r.tobytes() if len(open_at) else None)
+                words = [lookup.words.words[k] for k in at[open_at].tolist()]
+                cold.append([dict(pos=p, key=k, stem=s) for p, k, s in zip(open_at.tolist(), hashed(words).tolist(), hashed_stems(words).tolist())])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(found, pa.list_(pa.float64())), pa.array(left, pa.binary()), pa.array(cold, cold_type)], [*keep, X, LEFT, COLD]
+            )
+
+    kept = [F.col(f"`{c}`") for c in keep]
+    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    first = rows.select(F.col(f"`{text_col}`").alias(TEXT), *kept).mapInArrow(read, f"{fields}{X} array<double>, {LEFT} binary, {COLD} {COLD_TYPE}")
+    if whole:
+        return first.drop(LEFT, COLD)
+    first = scratch.write(first.withColumn(ROW, F.monotonically_increasing_id()), f"read-{which}")
+    cold = first.filter(F.col(LEFT).isNotNull()).select(ROW, F.explode(COLD).alias("c")).select(ROW, "c.*")
+    values = model.ratios.select("key", F.col(which).alias("r"))
+    wanted = cold.groupBy("key", "stem").agg(F.count("*").alias("uses"))
+    wanted = wanted.join(values, "key", "left").join(values.select(F.col("key").alias("stem"), F.col("r").alias("kin")), "stem", "left")
+    wanted = wanted.select("key", "uses", F.coalesce("r", "kin", F.lit(model.unseen[which])).cast("float").alias("r"))
+    wanted = scratch.write(wanted, f"wanted-{which}")
+    filled = skewed_lookup(cold.drop("stem"), wanted, "key", "uses", wanted.agg(F.sum("uses")).first()[0] or 0)
+    filled = filled.groupBy(ROW).agg(F.collect_list(F.struct("pos", "r")).alias(COLD))  # a text's own words
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for left, filled in zip(batch.column(0), batch.column(1)):
+                r = np.frombuffer(left.as_py(), np.float32).copy()
+                r[filled.values.field("pos").to_numpy()] = filled.values.field("r").to_numpy()
+                found.append(evidence(r))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(found, pa.list_(pa.float64()))], [*keep, X])
 
-    def score(self, found: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([found, np.ones(len(found))]) @ self.weights, -30, 30)))
+    late = first.filter(F.col(LEFT).isNotNull()).drop(COLD).join(filled, ROW).select(LEFT, COLD, *kept)
+    return first.filter(F.col(LEFT).isNull()).select(*kept, X).union(late.mapInArrow(fill, f"{fields}{X} array<double>"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", curve_rows: int = 20_000) -> ToxicityModel:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", curve_rows: int = 20_000, hot: int = HOT
+) -> ToxicityModel:
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.write(_training(docs, labels, id_col, text_col, label_col), "train")
     shares = train.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -175,55 +347,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if half is None:
         share = (toxic + 0.5) / (n + 1)
         scratch.drop()
-        return ToxicityModel(np.zeros(CELLS, np.float32), np.array([0.0] * EVIDENCE + [np.log(share / (1 - share))]))
+        return ToxicityModel(None, {}, np.array([0.0] * EVIDENCE + [np.log(share / (1 - share))]))
     train = train.withColumn("half", half)
-    counts = _counts(train)
-    tables = [log_ratios(counts[1]), log_ratios(counts[0])]  # a row of a half is scored by the other half's counts
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    names = [*(f"x{i}" for i in range(EVIDENCE)), "y"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, open_ = reader(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for packed, label, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                out.append((*evidence(shared.value[int(half)], cells(open_.decompress(packed).decode("utf-8", "surrogatepass"))), float(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(names), names)
-
-    def drawn(rows: DataFrame) -> np.ndarray:
-        got = rows.select("packed", "toxic", "half").mapInArrow(run, ", ".join(f"{c} double" for c in names)).limit(2 * curve_rows).toArrow()
-        return np.column_stack([got.column(c).to_numpy() for c in names])
-
-    sizes = {1: toxic, 0: n - toxic}
-    data = []
+    ratios, unseen = _ratios(_every_set(scratch.write(_counts(train), "words")), scratch)
+    model = ToxicityModel(ratios, unseen, np.zeros(EVIDENCE + 1), hot)
+    sizes, drawn = {1: toxic, 0: n - toxic}, []
     for c, size in sizes.items():  # each class gets half of the rows, and what the other class leaves
         rows, room = train.filter(F.col("toxic") == c), max(curve_rows // 2, curve_rows - sizes[1 - c])
-        chosen = drawn(rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, room / size) * (1 << 30))))
-        data.append(chosen if len(chosen) else drawn(rows))  # a few ids that hold all rows of a class may all be passed over
-    stands = np.concatenate([np.full(len(d), size / len(d)) for d, size in zip(data, sizes.values())])
-    data = np.concatenate(data)
-    weights = logistic_fit(data[:, :-1], data[:, -1], stands * len(data) / n)
-    shared.destroy()
-    scratch.drop()
-    return ToxicityModel(log_ratios(counts.sum(0)), weights)
+        chosen = rows.filter(F.pmod(F.xxhash64("id", "packed"), F.lit(1 << 30)) < int(min(1.0, room / size) * (1 << 30)))
+        # rows that are the same throughout are one, with their number; a few that hold a whole class may all be passed over
+        drawn.append((rows if chosen.isEmpty() else chosen).groupBy("id", "packed", "toxic", "half").agg(F.count("*").alias("copies")))
+    sample = scratch.write(drawn[0].union(drawn[1]), "sample")
+    data = []
+    for second, which in ((False, "second"), (True, "first")):  # a row of a half is scored by the other half's counts
+        got = _with_evidence(sample.filter(F.col("half") == second), "packed", ["toxic", "copies"], model, which, scratch, packed=True).toArrow()
+        data += [(*x, t, k) for x, t, k in zip(*(got.column(c).to_pylist() for c in (X, "toxic", "copies")))]  # about ``curve_rows``
+    data = np.array(sorted(data), dtype=np.float64)
+    x, y, copies = data[:, :-2], data[:, -2], data[:, -1]
+    stands = copies * np.where(y == 1, toxic / max(1, copies[y == 1].sum()), (n - toxic) / max(1, copies[y == 0].sum()))
+    model.weights = logistic_fit(x, y, stands * len(data) / n)
+    for name in ("train", "words", "stems", "sample"):
+        scratch.drop(name)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """id and score of each row; with ``keep`` all columns of ``docs`` and the score under that name."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, known = reader(), ToxicityModel(*shared.value)
-        for batch in batches:
-            found = [evidence(known.ratios, cells(t.as_py())) for t in batch.column(batch.schema.get_field_index(text_col))]
-            scores = pa.array(known.score(np.array(found).reshape(-1, EVIDENCE)), pa.float64())
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, keep])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["id", "score"])
-
-    if keep:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{fields}, `{keep}` double")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    rows = docs if keep else docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    kept = docs.columns if keep else [id_col]
+    if model.ratios is None:
+        found = rows.withColumn(X, F.array(*[F.lit(0.0)] * EVIDENCE))
+    else:
+        found = _with_evidence(rows, text_col, kept, model, "all", Scratch(docs.sparkSession, "toxicity-score"))
+    w = [float(x) for x in model.weights]
+    line = sum((F.get(X, F.lit(i)) * w[i] for i in range(EVIDENCE)), F.lit(w[-1]))
+    line = F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))
+    return found.select(*[F.col(f"`{c}`") for c in kept], (1 / (1 + F.exp(-line))).alias(keep or "score"))

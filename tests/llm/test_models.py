@@ -2,6 +2,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,7 @@ import pytest
 from compare import connect
 
 from pluvia.llm import boosting, html_extract, pii, quality, queries, toxicity
+from pluvia.session import Scratch
 
 
 # --- boosted trees -----------------------------------------------------------------------------------------------------
@@ -244,7 +246,7 @@ def test_toxicity_learns_from_training_rows_only(spark):
     one = toxicity.fit(docs, labels)
     turned = labels.withColumn("toxic", toxicity.F.when(toxicity.F.crc32(toxicity.F.col("doc_id").cast("string")) % 3 == 1, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     two = toxicity.fit(docs, turned)
-    assert (one.ratios == two.ratios).all() and (one.weights == two.weights).all()
+    assert sorted(one.ratios.collect()) == sorted(two.ratios.collect()) and one.unseen == two.unseen and (one.weights == two.weights).all()
 
 
 def test_toxicity_awkward(awkward, empty, spark):
@@ -272,7 +274,9 @@ def test_toxicity_class_in_one_fold(spark, fold, count, turned):
     labels = spark.createDataFrame([(i, 1 - t if turned else t) for i, t in marks], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    assert len(got) == 120 and np.isfinite(model.ratios).all() and all(0 <= s <= 1 for s in got.values())
+    assert len(got) == 120 and np.isfinite(model.weights).all() and all(0 <= s <= 1 for s in got.values())
+    assert (model.ratios is None) == (count == 1)
+    assert model.ratios is None or all(np.isfinite([r[s] for s in toxicity.SETS]).all() for r in model.ratios.collect())
     if count > 1:
         inside, outside = [got[i] for i in chosen], [s for i, s in got.items() if i not in chosen]
         assert max(inside) < min(outside) if turned else min(inside) > max(outside)
@@ -291,5 +295,67 @@ def test_toxicity_curve_sample_keeps_both_classes(spark):
     assert min(s for i, s in got.items() if i % 100 < 2) > 0.5 > max(s for i, s in got.items() if i % 100 >= 2)
 
 
+class PlainKneserNey:
+    """The two class models, straight from their definition."""
+
+    def __init__(self, rows):
+        count = lambda part: [Counter(part(w) for t, c in rows if c == k for w in re.findall(r"\w+", t.lower())) for k in (1, 0)]
+        self.words, self.stems = count(lambda w: w), count(lambda w: w[: toxicity.STEM])
+        self.forms = Counter(w[: toxicity.STEM] for w in self.words[0] | self.words[1])
+
+    def order(self, counts):
+        n = Counter(counts.values())
+        d = toxicity.discounts(*(n[k] for k in (1, 2, 3, 4)))
+        off = lambda x: d[min(x, 3) - 1] if x else 0
+        return off, sum(counts.values()), sum(map(off, counts.values())) / sum(counts.values())
+
+    def ratio(self, word):
+        stem, logs = word[: toxicity.STEM], []
+        form = (sum(w[word] for w in self.words) + 1 / 64) / (sum(s[stem] for s in self.stems) + 1)
+        for words, stems in zip(self.words, self.stems):
+            off, n, left = self.order(stems)
+            of_stem = (stems[stem] - off(stems[stem])) / n + left * (self.forms[stem] + 0.5) / (sum(self.forms.values()) + 1)
+            off, n, left = self.order(words)
+            logs.append(np.log((words[word] - off(words[word])) / n + left * of_stem * form))
+        return logs[0] - logs[1]
+
+
+@pytest.mark.parametrize("hot", [0, 40, toxicity.HOT])
+def test_toxicity_against_brute_force(spark, hot):
+    draw = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in ("plain", "words", "other", "night", "morning", "x") for b in ("", "s", "ing", "ed", "er")]
+    texts, marks = [], []
+    for i in range(240):
+        toxic = int(draw.integers(4) == 0)
+        words = [vocabulary[int(k)] for k in draw.zipf(1.3, int(draw.integers(0, 60))) % len(vocabulary)]
+        words += ["slur" + ("", "s", "ing")[int(draw.integers(3))]] * (toxic * int(draw.integers(1, 4)))
+        texts.append(" ".join(draw.permutation(words)) if words else "")
+        marks.append(toxic)
+    texts += ["slurry unseen nothing", "Words WORDS plained", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, hot=hot)
+    fold = [zlib.crc32(str(i).encode()) % 3 for i in range(len(texts))]
+    plain = PlainKneserNey([(t, c) for t, c, f in zip(texts, marks, fold) if f != 1])
+    found = toxicity._with_evidence(docs, "text", ["doc_id"], model, "all", Scratch(spark, "test-toxicity")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        want = toxicity.evidence(np.array([plain.ratio(w) for w in re.findall(r"\w+", texts[r.doc_id].lower())]))
+        assert np.allclose(r[1], want, rtol=1e-4, atol=1e-5)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    line = {r.doc_id: 1 / (1 + np.exp(-(np.dot(r[1], model.weights[:-1]) + model.weights[-1]))) for r in found}
+    assert all(abs(got[i] - line[i]) < 1e-9 for i in got)
+    held = [i for i in range(len(marks)) if fold[i] == 1]
+    assert all((got[i] >= 0.5) == marks[i] for i in held)
+
+
+def test_toxicity_rare_words_by_join_give_the_same_scores(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    every = [{(r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, toxicity.fit(docs, labels, hot=hot)).collect()} for hot in (500, toxicity.HOT)]
+    assert every[0] == every[1] and len(every[0]) == docs.count()
+    kept = toxicity.score(docs, toxicity.fit(docs, labels, hot=500), keep="s")
+    assert kept.columns == [*docs.columns, "s"] and {(r.doc_id, round(r.s, 9)) for r in kept.collect()} == every[0]
+
+
 def test_tokenizer_files_are_there():
     assert public_tokenizers.path("byte_bpe_50k.json")
