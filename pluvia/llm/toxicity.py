@@ -10,12 +10,12 @@ where "left" is the share that the discounts take off. The backoff distributions
 P(stem) is the stem's continuation count (how many different words begin with it) and P(word | stem) comes from the
 pooled counts. So a rare expression gives nearly the same probability in both models and says little, an unseen form of a
 known stem says what its stem says, and words of unseen stems all say the same. A text's evidence is the mean log-ratio
-of its words (the length-normalised log-likelihood, toxic less ordinary), the same over its worst passage, the mean and
+of its words (the length-normalised log-likelihood, toxic less ordinary), the same over its worst passage of ``WINDOW`` words, the mean and
 the largest ratio above ``STRONG``, and the log length; a logistic curve over these gives the score.
 
 Counts are exact, from all labelled training rows, and stay in a Spark table that grows with the corpus; words are named
-by 64-bit hashes. Scoring reads the most frequent expressions, ``hot`` at most, from a broadcast; a text with other words
-gets their ratios by a join. The curve alone is fitted on a sample of about ``curve_rows`` training rows, each scored by
+by 64-bit hashes. Scoring reads the most frequent expressions, ``hot`` at most, from a broadcast, and with them a filter
+of a fixed size that says which others can be in the table; a text that has such gets their ratios by a join. The curve alone is fitted on a sample of about ``curve_rows`` training rows, each scored by
 the counts of the half that it isn't in. The sample is drawn per class, and weights restore the classes' shares. The
 halves are the two training folds; if a class has words in one of them alone, ids are dealt to halves anew.
 
@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from pluvia.operators.skew import skewed_lookup
 from pluvia.session import Scratch
 
-STEM, WINDOW, STRONG, FOLDS = 5, 20, 1.5, 3
+STEM, WINDOW, STEP, STRONG, FOLDS = 5, 20, 10, 1.5, 3
 UNSEEN_FORM = 1 / 64  # what an unseen form of a stem counts as in P(word | stem)
-HOT = 1 << 19
+HOT, FILTER_BITS = 1 << 19, 1 << 25
 SETS = ("first", "second", "all")  # counts of either half, and of both
 
 
@@ -55,6 +55,9 @@ def hashed_stems(words: list[str]) -> np.ndarray:
     return hashed([f"{w[:STEM]}*" for w in words])  # no word has the mark
 
 
+FILTER_SHIFTS = (0, 32)
+
+
 class Vocabulary(dict):
     """Places of words in the list ``words``; to be emptied when it gets large."""
 
@@ -79,17 +82,49 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, self.find((text or "").lower())), dtype=np.int64)
 
 
-EVIDENCE = 5
+class Evidence:
+    """What a text's log-ratios say, as sums, so that ratios that come later can be added.
 
+    Passages are ``WINDOW`` words that begin at every ``STEP``-th; a text shorter than one is taken as padded by zeros.
+    """
 
-def evidence(r: np.ndarray) -> tuple[float, ...]:
-    """What a text's log-ratios say; a text shorter than a window is taken as padded by zeros."""
-    if not len(r):
-        return (0.0,) * EVIDENCE
-    r = r.astype(np.float64)
-    sums, width = np.concatenate(([0.0], np.cumsum(r))), min(WINDOW, len(r))
-    strong = np.maximum(r - STRONG, 0)
-    return float(r.mean()), float((sums[width:] - sums[:-width]).max() / WINDOW), float(np.log1p(len(r))), float(strong.mean()), float(strong.max())
+    SIZE = 5
+
+    def __init__(self, n: int, total: float, strong: float, strongest: float, passage: float):
+        self.n, self.total, self.strong, self.strongest, self.passage = n, total, strong, strongest, passage
+
+    @staticmethod
+    def passages(at: int, n: int) -> range:
+        """Numbers of the passages of a text of ``n`` words that the word at ``at`` stands in."""
+        last = max(0, -(-(n - WINDOW) // STEP))
+        return range(max(0, (at - WINDOW) // STEP + 1), min(at // STEP, last) + 1)
+
+    @classmethod
+    def of(cls, r: np.ndarray) -> tuple[Evidence, dict[int, float]]:
+        """Evidence of the ratios that aren't NaN, without the passages that have a NaN, and what those have so far."""
+        n, known = len(r), np.nan_to_num(r.astype(np.float64))
+        if not n:
+            return cls(0, 0.0, 0.0, 0.0, 0.0), {}
+        strong = np.maximum(known - STRONG, 0)
+        sums = np.concatenate(([0.0], np.cumsum(known)))
+        first = np.arange(max(0, -(-(n - WINDOW) // STEP)) + 1) * STEP
+        passages = sums[np.minimum(first + WINDOW, n)] - sums[first]
+        missing = {k for at in np.nonzero(np.isnan(r))[0].tolist() for k in cls.passages(at, n)}
+        left = {k: float(passages[k]) for k in sorted(missing)}
+        passages[list(missing)] = -np.inf
+        return cls(n, float(known.sum()), float(strong.sum()), float(strong.max()), float(passages.max())), left
+
+    def add(self, late: list[tuple[int, float]], left: dict[int, float]) -> None:
+        for at, r in late:
+            self.total += r
+            self.strong += max(r - STRONG, 0)
+            self.strongest = max(self.strongest, r - STRONG)
+            for k in self.passages(at, self.n):
+                left[k] += r
+        self.passage = max(self.passage, *left.values())
+
+    def values(self) -> tuple[float, ...]:
+        return self.total / max(1, self.n), self.passage / WINDOW, float(np.log1p(self.n)), self.strong / max(1, self.n), self.strongest
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -231,8 +266,9 @@ class ToxicityModel:
         self.ratios, self.unseen, self.weights, self.hot = ratios, unseen, weights, hot
 
     @cached_property
-    def hottest(self) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Sorted keys and ratios (a column a set) of the most frequent expressions, and whether these are all."""
+    def hottest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Sorted keys and ratios (a column a set) of the most frequent expressions, and a filter of the keys of all
+        (None where the first are all)."""
         size = F.floor(F.log2("n") * 8).cast("int")
         steps = sorted(self.ratios.groupBy(size.alias("size")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["size"])  # 512 rows at most
         total, least = 0, None
@@ -243,14 +279,23 @@ class ToxicityModel:
         got = self.ratios.filter(size >= least if least is not None else F.lit(False)).select("key", *SETS).toArrow()  # ``hot`` rows at most
         keys = got.column("key").to_numpy()
         order = np.argsort(keys)
-        return keys[order], np.column_stack([got.column(s).to_numpy() for s in SETS])[order], total == sum(s.k for s in steps)
+        values = np.column_stack([got.column(s).to_numpy() for s in SETS])[order]
+        return keys[order], values, None if total == sum(s.k for s in steps) else self._filter(size < least if least is not None else F.lit(True))
+
+    def _filter(self, rest: Column) -> np.ndarray:
+        places = F.explode(F.array(*[F.shiftright("key", k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in FILTER_SHIFTS])).alias("at")
+        bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+        words = self.ratios.filter(rest).select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+        bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        return bits
 
 
 class Lookup:
-    """Ratios of a text's words; NaN where only the table knows."""
+    """Ratios of a text's words; NaN where only the table knows. ``bits`` is None where the broadcast has all keys."""
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray, whole: bool, unseen: float):
-        self.keys, self.values, self.whole, self.unseen = keys, ratios, whole, unseen
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, bits: np.ndarray | None, unseen: float):
+        self.keys, self.values, self.bits, self.unseen = keys, ratios, bits, unseen
         self.words, self.known, self.filled = Vocabulary(), np.zeros(1024, np.float32), 0
 
     def _of(self, keys: np.ndarray) -> np.ndarray:
@@ -259,6 +304,16 @@ class Lookup:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.values[at], np.nan)
 
+    def _maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the table may have the keys."""
+        if self.bits is None:
+            return np.zeros(len(keys), bool)
+        said = np.ones(len(keys), bool)
+        for shift in FILTER_SHIFTS:
+            at = (keys >> shift) & (FILTER_BITS - 1)
+            said &= (self.bits[at >> 6] >> (at & 63)) & 1 == 1
+        return said
+
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ratios of a text's words and their places in the vocabulary."""
         if self.words.full():
@@ -267,11 +322,12 @@ class Lookup:
         at = self.words.places(text)
         if self.filled < len(self.words):
             new = self.words.words[self.filled :]
-            found = self._of(hashed(new))
-            if self.whole:
-                rest = np.nonzero(np.isnan(found))[0]
-                kin = self._of(hashed_stems([new[i] for i in rest]))
-                found[rest] = np.where(np.isnan(kin), self.unseen, kin)
+            keys = hashed(new)
+            found = self._of(keys)
+            rest = np.nonzero(np.isnan(found) & ~self._maybe(keys))[0]
+            stems = hashed_stems([new[i] for i in rest])
+            kin = self._of(stems)
+            found[rest] = np.where(np.isnan(kin) & ~self._maybe(stems), self.unseen, kin)
             if len(self.known) < len(self.words):
                 self.known = np.concatenate((self.known, np.zeros(len(self.words), np.float32)))
             self.known[self.filled : len(self.words)] = found
@@ -279,61 +335,71 @@ class Lookup:
         return self.known[at], at
 
 
-ROW, X, LEFT, COLD, TEXT = (f"__toxicity_{name}__" for name in ("row", "evidence", "left", "cold", "text"))
-COLD_TYPE = "array<struct<pos: int, key: long, stem: long>>"
+ROW, X, LEFT, TEXT = (f"__toxicity_{name}__" for name in ("row", "evidence", "left", "text"))
+LEFT_TYPE = (
+    "struct<sums: struct<n: long, total: double, strong: double, strongest: double, passage: double>,"
+    " passages: array<struct<k: int, r: double>>, words: array<struct<pos: int, key: long, stem: long>>>"
+)
 
 
 def _with_evidence(rows: DataFrame, text_col: str, keep: list[str], model: ToxicityModel, which: str, scratch: Scratch, packed: bool = False) -> DataFrame:
     """The columns ``keep`` of each row, and its text's evidence.
 
-    A row whose words aren't all in the broadcast gets the others by a join on their keys, and then on the row's number.
+    A row with words that only the table knows gets them by a join on their keys, and then on the row's number; of the
+    text it needs no more than its sums and the passages that those words stand in.
     """
-    keys, ratios, whole = model.hottest
-    shared = rows.sparkSession.sparkContext.broadcast((keys, np.ascontiguousarray(ratios[:, SETS.index(which)]), whole, model.unseen[which]))
-    cold_type = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("stem", pa.int64())]))
+    keys, ratios, bits = model.hottest
+    shared = rows.sparkSession.sparkContext.broadcast((keys, np.ascontiguousarray(ratios[:, SETS.index(which)]), bits, model.unseen[which]))
+    left_type = pa.struct([
+        ("sums", pa.struct([("n", pa.int64()), *((f, pa.float64()) for f in ("total", "strong", "strongest", "passage"))])),
+        ("passages", pa.list_(pa.struct([("k", pa.int32()), ("r", pa.float64())]))), ("words", pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("stem", pa.int64())]))),
+    ])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, open_ = Lookup(*shared.value), zstandard.ZstdDecompressor()
         for batch in batches:
-            found, left, cold = [], [], []
+            found, late = [], []
             for text in batch.column(0):
                 text = open_.decompress(text.as_py()).decode("utf-8", "surrogatepass") if packed else text.as_py()
                 r, at = lookup(text)
-                open_at = np.nonzero(np.isnan(r))[0]
-                found.append(None if len(open_at) else evidence(r))
-                left.append(r.tobytes() if len(open_at) else None)
-                words = [lookup.words.words[k] for k in at[open_at].tolist()]
-                cold.append([dict(pos=p, key=k, stem=s) for p, k, s in zip(open_at.tolist(), hashed(words).tolist(), hashed_stems(words).tolist())])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(found, pa.list_(pa.float64())), pa.array(left, pa.binary()), pa.array(cold, cold_type)], [*keep, X, LEFT, COLD]
-            )
+                sums, passages = Evidence.of(r)
+                if not passages:
+                    found.append(sums.values())
+                    late.append(None)
+                    continue
+                missing = np.nonzero(np.isnan(r))[0]
+                words = [lookup.words.words[k] for k in at[missing].tolist()]
+                places = zip(missing.tolist(), hashed(words).tolist(), hashed_stems(words).tolist())
+                found.append(None)
+                late.append({"sums": vars(sums), "passages": [{"k": k, "r": v} for k, v in passages.items()], "words": [{"pos": p, "key": k, "stem": s} for p, k, s in places]})
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.float64())), pa.array(late, left_type)], [*keep, X, LEFT])
 
     kept = [F.col(f"`{c}`") for c in keep]
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    first = rows.select(F.col(f"`{text_col}`").alias(TEXT), *kept).mapInArrow(read, f"{fields}{X} array<double>, {LEFT} binary, {COLD} {COLD_TYPE}")
-    if whole:
-        return first.drop(LEFT, COLD)
+    first = rows.select(F.col(f"`{text_col}`").alias(TEXT), *kept).mapInArrow(read, f"{fields}{X} array<double>, {LEFT} {LEFT_TYPE}")
+    if bits is None:
+        return first.drop(LEFT)
     first = scratch.write(first.withColumn(ROW, F.monotonically_increasing_id()), f"read-{which}")
-    cold = first.filter(F.col(LEFT).isNotNull()).select(ROW, F.explode(COLD).alias("c")).select(ROW, "c.*")
+    late = first.filter(F.col(LEFT).isNotNull())
+    words = late.select(ROW, F.explode(f"{LEFT}.words").alias("w")).select(ROW, "w.*")
     values = model.ratios.select("key", F.col(which).alias("r"))
-    wanted = cold.groupBy("key", "stem").agg(F.count("*").alias("uses"))
-    wanted = wanted.join(values, "key", "left").join(values.select(F.col("key").alias("stem"), F.col("r").alias("kin")), "stem", "left")
-    wanted = wanted.select("key", "uses", F.coalesce("r", "kin", F.lit(model.unseen[which])).cast("float").alias("r"))
-    wanted = scratch.write(wanted, f"wanted-{which}")
-    filled = skewed_lookup(cold.drop("stem"), wanted, "key", "uses", wanted.agg(F.sum("uses")).first()[0] or 0)
-    filled = filled.groupBy(ROW).agg(F.collect_list(F.struct("pos", "r")).alias(COLD))  # a text's own words
+    wanted = scratch.write(words.groupBy("key", "stem").agg(F.count("*").alias("uses")), f"wanted-{which}")
+    known = wanted.join(values, "key", "left").join(values.select(F.col("key").alias("stem"), F.col("r").alias("kin")), "stem", "left")
+    known = scratch.write(known.select("key", "uses", F.coalesce("r", "kin", F.lit(model.unseen[which])).alias("r")), f"known-{which}")
+    filled = skewed_lookup(words.drop("stem"), known, "key", "uses", known.agg(F.sum("uses")).first()[0] or 0)
+    filled = filled.groupBy(ROW).agg(F.collect_list(F.struct("pos", "r")).alias("filled"))  # a text's own words
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for left, filled in zip(batch.column(0), batch.column(1)):
-                r = np.frombuffer(left.as_py(), np.float32).copy()
-                r[filled.values.field("pos").to_numpy()] = filled.values.field("r").to_numpy()
-                found.append(evidence(r))
+            for left, filled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums = Evidence(**left["sums"])
+                sums.add([(w["pos"], w["r"]) for w in sorted(filled, key=lambda w: w["pos"])], {p["k"]: p["r"] for p in left["passages"]})
+                found.append(sums.values())
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(found, pa.list_(pa.float64()))], [*keep, X])
 
-    late = first.filter(F.col(LEFT).isNotNull()).drop(COLD).join(filled, ROW).select(LEFT, COLD, *kept)
-    return first.filter(F.col(LEFT).isNull()).select(*kept, X).union(late.mapInArrow(fill, f"{fields}{X} array<double>"))
+    rest = late.select(ROW, F.struct(f"{LEFT}.sums", f"{LEFT}.passages").alias(LEFT), *kept).join(filled, ROW).select(LEFT, "filled", *kept)
+    return first.filter(F.col(LEFT).isNull()).select(*kept, X).union(rest.mapInArrow(fill, f"{fields}{X} array<double>"))
 
 
 def fit(
@@ -347,10 +413,10 @@ def fit(
     if half is None:
         share = (toxic + 0.5) / (n + 1)
         scratch.drop()
-        return ToxicityModel(None, {}, np.array([0.0] * EVIDENCE + [np.log(share / (1 - share))]))
+        return ToxicityModel(None, {}, np.array([0.0] * Evidence.SIZE + [np.log(share / (1 - share))]))
     train = train.withColumn("half", half)
     ratios, unseen = _ratios(_every_set(scratch.write(_counts(train), "words")), scratch)
-    model = ToxicityModel(ratios, unseen, np.zeros(EVIDENCE + 1), hot)
+    model = ToxicityModel(ratios, unseen, np.zeros(Evidence.SIZE + 1), hot)
     sizes, drawn = {1: toxic, 0: n - toxic}, []
     for c, size in sizes.items():  # each class gets half of the rows, and what the other class leaves
         rows, room = train.filter(F.col("toxic") == c), max(curve_rows // 2, curve_rows - sizes[1 - c])
@@ -376,10 +442,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     rows = docs if keep else docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
     kept = docs.columns if keep else [id_col]
     if model.ratios is None:
-        found = rows.withColumn(X, F.array(*[F.lit(0.0)] * EVIDENCE))
+        found = rows.withColumn(X, F.array(*[F.lit(0.0)] * Evidence.SIZE))
     else:
         found = _with_evidence(rows, text_col, kept, model, "all", Scratch(docs.sparkSession, "toxicity-score"))
     w = [float(x) for x in model.weights]
-    line = sum((F.get(X, F.lit(i)) * w[i] for i in range(EVIDENCE)), F.lit(w[-1]))
+    line = sum((F.get(X, F.lit(i)) * w[i] for i in range(Evidence.SIZE)), F.lit(w[-1]))
     line = F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))
     return found.select(*[F.col(f"`{c}`") for c in kept], (1 / (1 + F.exp(-line))).alias(keep or "score"))
