@@ -14,6 +14,7 @@ repeat an id are encoded each. Only id and text are read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -55,18 +56,34 @@ class Pieces:
     def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The pieces of a text by merging the best pair, the leftmost of equals, until none is in the vocabulary; and
         of every merge its score and the outer parts after it."""
-        parts, score, steps = list(text), self.score, [(0.0, text[:1], text[-1:])]
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            steps.append((best, parts[0], parts[-1]))
-        return parts, steps
+        n, score, steps = len(text), self.score, [(0.0, text[:1], text[-1:])]
+        part: list[str | None] = list(text)  # None where a part has been merged into the one before
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def propose(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                both = part[k] + part[after[k]]
+                if both in score:
+                    heapq.heappush(heap, (-score[both], k, both))
+
+        for k in range(n):
+            propose(k)
+        last = n - 1
+        while heap:
+            s, k, both = heapq.heappop(heap)
+            if part[k] is None or after[k] >= n or part[k] + part[after[k]] != both:
+                continue  # one of the two has been merged since
+            gone = after[k]
+            part[k], part[gone], after[k] = both, None, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            else:
+                last = k
+            steps.append((-s, part[0], part[last]))
+            propose(before[k])
+            propose(k)
+        return [p for p in part if p is not None], steps
 
     def of(self, piece: int) -> str:
         return self.text[piece] if piece < self.size else chr(piece - self.size)
@@ -82,9 +99,9 @@ class Pieces:
 
 
 class Neighbours:
-    """Which pairs of pieces stay apart; sorted keys, so that a batch of pairs is looked up at once."""
+    """Which pairs of pieces stay apart; sorted keys, so that a batch of pairs is looked up at once. At most ``MOST`` are kept."""
 
-    SPAN = 1 << 22
+    SPAN, MOST = 1 << 22, 4_000_000
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.keys, self.apart = pieces, np.zeros(0, np.int64), np.zeros(0, bool)
@@ -95,17 +112,21 @@ class Neighbours:
         unique, back = np.unique(wanted, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         known = (at < len(self.keys)) & (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == unique) if len(self.keys) else np.zeros(len(unique), bool)
+        apart = np.empty(len(unique), bool)
+        apart[known] = self.apart[at[known]]
         if not known.all():
             new = unique[~known]
-            fresh = np.fromiter((self._apart(*divmod(k, self.SPAN)) for k in new.tolist()), dtype=bool, count=len(new))
-            keys, apart = np.concatenate((self.keys, new)), np.concatenate((self.apart, fresh))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.apart = keys[order], apart[order]
-            at = np.searchsorted(self.keys, unique)
-        return self.apart[at][back]
+            apart[~known] = fresh = np.fromiter((self._apart(*divmod(k, self.SPAN)) for k in new.tolist()), dtype=bool, count=len(new))
+            if len(self.keys) + len(new) > self.MOST:
+                self.keys, self.apart = unique, apart
+            else:
+                self.keys, self.apart = np.insert(self.keys, at[~known], new), np.insert(self.apart, at[~known], fresh)
+        return apart[back]
 
     def _steps(self, piece: int) -> list | None:
         if piece not in self.steps:
+            if len(self.steps) > self.MOST // 8:
+                self.steps.clear()
             parts, steps = self.pieces.merges(self.pieces.of(piece))
             self.steps[piece] = steps if len(parts) == 1 else None
         return self.steps[piece]
@@ -132,13 +153,13 @@ class Neighbours:
 
 
 class Encoder:
-    """Encodes words of a batch and keeps them while there is room."""
+    """Encodes words of a batch and keeps them while there is room (``most`` bytes, about)."""
 
-    def __init__(self, model_path: str, most: int = 1_000_000):
+    def __init__(self, model_path: str, most: int = 256 << 20):
         self.pieces = Pieces(model_path)
         self.apart = Neighbours(self.pieces)
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.held = most, 0
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, piece and length of every occurrence of a piece in ``codes`` (0 parts words)."""
@@ -235,9 +256,13 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > self.most:
+        size = sum(map(len, new)) * 8 + len(new) * 200  # a character and its id, and what an entry takes
+        if self.held + size > self.most:
             self.known.clear()
+            self.held = 0
             new = {w for words in split for w in words}
+            size = sum(map(len, new)) * 8 + len(new) * 200
+        self.held += size
         if new:
             self.learn(sorted(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]

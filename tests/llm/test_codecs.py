@@ -17,7 +17,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, 0], dtype="<u4") for e in tokenizer.encode_batch(list(texts), add_special_tokens=False)]
 
 
@@ -51,8 +50,23 @@ def test_packing_awkward(awkward, empty, spark):
     rows = awkward.select("doc_id", "text").collect()
     check_pieces(queries.pack_documents(awkward).collect(), list(zip((r.doc_id for r in rows), plain_ids(r.text or "" for r in rows))))
     assert queries.pack_documents(empty).count() == 0
-    special = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    check_pieces(queries.pack_documents(special).collect(), [(1, plain_ids(["a <|endoftext|> b"])[0])])
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", "\u0120 <|ENDOFTEXT|>"]
+    special = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(queries.pack_documents(special).collect(), list(enumerate(plain_ids(texts))))
+
+
+def test_packing_follows_the_curve(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = packing._tokens(docs, "doc_id", "text", path, public_tokenizers.PATTERN, 0).toPandas()
+    at = rows[packing.AXES].to_numpy()
+    even = 1 / (1 + np.exp(np.clip(-1.7 * (at - at.mean(0)) / at.std(0), -60, 60)))
+    side = 1 << packing.KEY_BITS
+    key = dict(zip(rows["id"], packing.hilbert_key(np.minimum((even * side).astype(np.int64), side - 1))))
+    pieces = packing.pack(docs, path, public_tokenizers.PATTERN).filter("start = 0").toPandas()
+    order = pieces.sort_values(["sequence_id", "offset"])["doc_id"]
+    steps = np.diff([key[i] for i in order])
+    assert len(order) == docs.count() and (steps < 0).mean() < 0.02  # but for cells that rounding moves
 
 
 def test_packing_long_white_space(spark):
@@ -133,6 +147,40 @@ def test_pieces_equal_the_library(spark, sf_dir):
         assert np.frombuffer(r.ids, "<u4").tolist() == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
 
 
+def plain_merges(pieces, text):
+    parts = list(text)
+    while True:
+        ranked = [(-pieces.score[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in pieces.score]
+        if not ranked:
+            return parts
+        k = min(ranked)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_pieces_merges_by_definition_and_of_very_long_words():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoder, model = sentencepiece_codec.Encoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    draw = np.random.default_rng(4)
+    for _ in range(400):
+        text = "".join(draw.choice(list("abcdeinorst▁te\0"), size=int(draw.integers(0, 30))))
+        assert encoder.pieces.merges(text)[0] == plain_merges(encoder.pieces, text)
+    long = "".join(draw.choice(list("abcdeinorst"), size=200_000))
+    texts = [long[:100_000] + "\0" + long[100_000:], "日本語" * 20_000, "a" * 100_000]
+    assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == [model.encode(t) for t in texts]
+
+
+def test_pieces_with_little_room_are_the_same():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    draw = np.random.default_rng(6)
+    texts = [" ".join("".join(draw.choice(list("abcdeinorst"), size=int(draw.integers(1, 9)))) for _ in range(200)) for _ in range(20)]
+    wide, narrow = sentencepiece_codec.Encoder(path), sentencepiece_codec.Encoder(path, most=10_000)
+    narrow.apart.MOST = 50
+    assert [narrow.encode([t])[0] for t in texts] == wide.encode(texts)
+    assert narrow.held < 200_000 and len(narrow.known) < len(wide.known)
+
+
 def test_pieces_of_odd_texts():
     import sentencepiece
 
