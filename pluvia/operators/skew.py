@@ -20,3 +20,13 @@ def skewed_lookup(left: DataFrame, right: DataFrame, key: str | list[str], size_
     keys = [key] if isinstance(key, str) else key
     rest = left.join(hot.select(keys), key, "left_anti").join(cold, key)
     return left.join(hot, key).unionByName(rest)
+
+
+def skewed_left(left: DataFrame, right: DataFrame, key: list[str], size_col: str, total: int) -> DataFrame:
+    """Left join like :func:`skewed_lookup`; rows without a match, and those with a null key, stay with nulls."""
+    many, size = total / HOT_KEYS, F.col(size_col)
+    if not key:
+        return left.crossJoin(F.broadcast(right))  # one row
+    hot = F.broadcast(right.filter(size > many))
+    rest = left.join(F.broadcast(right.filter(size > many).select(key)), key, "left_anti").join(right.filter(size <= many), key, "left")
+    return left.join(hot, key).unionByName(rest)
