@@ -20,10 +20,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.operators.skew import skewed_left
 from pluvia.session import Scratch
 
 WHITE = r"[\x20\x09-\x0D]+"
-SALTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -97,8 +97,8 @@ def exact_dedup(
     one that stays. A given ``index`` lives on and its earlier texts stay ahead of the new ones; else one is made for
     this call and dropped.
 
-    No row is dealt by digest alone after the digests are counted: rows look up their group under a salt, and only
-    groups of two or more are looked up at all.
+    After the digests are counted no row of a large group is dealt by its digest: large groups are broadcast to their
+    rows, and only groups of two or more are looked up at all.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
@@ -115,9 +115,8 @@ def exact_dedup(
     groups = rows.groupBy("digest").agg(F.count("*").alias("size"))
     if own:
         groups = groups.filter("size > 1")
-    group = groups.join(index.table(), "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int"))
-    seen = salted.join(group, ["digest", "salt"], "left")
+    group = scratch.write(groups.join(index.table(), "digest"), "groups")
+    seen = skewed_left(rows, group, ["digest"], "size", rows.count())
     alone = F.col("size").isNull()
     result = scratch.write(
         seen.select(
@@ -131,5 +130,6 @@ def exact_dedup(
     )
     if own:
         index.drop()
-    scratch.drop("digests")
+    for name in ("digests", "groups"):
+        scratch.drop(name)
     return result

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.operators.skew import skewed_lookup
+from pluvia.operators.skew import skewed_left, skewed_lookup
 from pluvia.session import Scratch
 
 DICTIONARY_FRAME = 0x184D2A5D  # fixed: magic of the skippable frame that holds a .warc.zst dictionary
@@ -208,13 +208,14 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
     archives = manifest.select("archive")
-    return archives.repartition(max(1, manifest.count()), "archive").mapInArrow(run, RECORDS)
+    return archives.repartition(max(1, manifest.count())).mapInArrow(run, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to (a page id) of each record.
 
-    A revisit's payload is the one of the response it refers to; that response must be among the records.
+    A revisit's payload is the one of the response it refers to; where that response isn't among the records, these
+    columns are null.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,6 +233,6 @@ def resolved(records: DataFrame) -> DataFrame:
     )
     revisits = light.filter("record_type = 'revisit'").select("page_id", "record_type", "target")
     uses = revisits.groupBy("target").agg(F.count("*").alias("uses"))
-    found = skewed_lookup(revisits, scratch.write(named.join(uses, "target"), "named"), "target", "uses", revisits.count())
+    found = skewed_left(revisits, scratch.write(named.join(uses, "target"), "named"), ["target"], "uses", revisits.count())
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return first.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(found.select(columns))
