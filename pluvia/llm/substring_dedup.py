@@ -3,7 +3,7 @@
 A window is ``WINDOW`` consecutive words. Each window picks the least hash among its ``GRAM``-word grams (its anchor), so
 equal windows pick the same anchor at the same place, and about one word in eighteen is an anchor. An anchor's context is
 all the words that its windows can reach. The index holds, for each pair of anchor hash and context digest, the first
-document that had it, as immutable runs: warehouse tables bucketed by the anchor hash and sorted.
+document that had it, as immutable runs: warehouse tables bucketed by the pair and sorted.
 
 A batch of new documents is merge-joined with the runs, which stay where they are:
 
@@ -14,8 +14,9 @@ A batch of new documents is merge-joined with the runs, which stay where they ar
 Then the batch's new pairs become a run, and the runs are compacted to one when there are more than ``max_runs``.
 Batches come in order of id, so within a call "earlier" is "smaller id"; what a given index holds from earlier calls is
 earlier than all rows of a call. An index that outlives a call keeps the digests of each pair's windows (16 bytes each,
-about eighteen a pair), so that no earlier text is needed again; one of a single call reads the texts. Digests are of the words' bytes; a pair has 128 bits, and a
-digested window 128.
+about eighteen a pair), so that no earlier text is needed again; one of a single call reads the texts. Digests are of the
+words' bytes; a pair has 128 bits, and a digested window 128. An anchor that very many contexts share isn't dealt to one
+task: such anchors are broadcast to their rows.
 
 Defined results: null and word-less texts have no words. Texts shorter than a window lose nothing. Rows that repeat an id
 don't remove words from each other; a null id comes after all others. Only id and text are read.
@@ -180,8 +181,8 @@ class FingerprintIndex:
     def add_run(self, pairs: DataFrame) -> None:
         self.made += 1
         name = f"{self.name}_run{self.made:06d}_{uuid.uuid4().hex[:6]}"
-        dealt = pairs.select(*self.columns).repartition(self.buckets, "h")
-        dealt.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h", "ctx").saveAsTable(name)
+        dealt = pairs.select(*self.columns).repartition(self.buckets, "h", "ctx")
+        dealt.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h", "ctx").sortBy("h", "ctx").saveAsTable(name)
 
     def turn(self) -> int:
         """Number of the next batch; those of a batch are earlier than those of the batches after it."""
@@ -224,21 +225,27 @@ def _batch(rows: DataFrame, texts: DataFrame, index: FingerprintIndex, scratch:
     history = [index.spark.table(name).select(*index.columns) for name in index.runs()]
     for run in history:
         several = several.join(run.groupBy("h").agg(F.count("*").alias("more")), "h", "left").select("h", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    several = scratch.write(several.filter("n > 1").select("h"), f"several-{tag}")
+    several = scratch.write(several.filter("n > 1").select("h", F.col("n").alias("contexts")), f"several-{tag}")
+    contexts = several.agg(F.sum("contexts")).first()[0] or 0
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """The rows whose anchor came with several contexts."""
+        return skewed_lookup(rows, several, "h", "contexts", contexts).drop("contexts")
+
     if index.keep_windows:
         own = scratch.write(_windows(texts, fresh), f"own-{tag}")
         packed = own.groupBy("h", "ctx").agg(F.array_sort(F.collect_list(F.struct("rel", "digest"))).alias("d"))  # at most WINDOW
         digests = F.aggregate("d", F.lit(b""), lambda a, x: F.concat(a, x["digest"])).alias("digests")
         fresh = fresh.join(packed.select("h", "ctx", digests), ["h", "ctx"]).withColumn("turn", F.lit(turn).cast("long"))
-        windows = own.join(several, "h", "left_semi").withColumn("turn", F.lit(turn).cast("long"))
+        windows = shared(own).select(*own.columns).withColumn("turn", F.lit(turn).cast("long"))
         for run in history:
-            old = run.join(several, "h", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("e") - F.col("s")).cast("int"))))
+            old = shared(run).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("e") - F.col("s")).cast("int"))))
             digest = F.expr("substring(digests, 16 * k + 1, 16)").alias("digest")
             windows = windows.union(old.select("h", "ctx", "id", (F.col("s") - F.col("pos") + F.col("k")).alias("rel"), digest, "turn"))
     else:
-        held = fresh.join(several, "h", "left_semi")
+        held = shared(fresh).select(*fresh.columns)
         for run in history:
-            held = held.union(run.join(several, "h", "left_semi"))
+            held = held.union(shared(run).select(*fresh.columns))
         windows = _windows(texts, held).withColumn("turn", F.lit(0).cast("long"))
     windows = scratch.write(windows, f"windows-{tag}")
     firsts = windows.groupBy("digest").agg(F.min(F.struct("turn", "id")).alias("first"), F.count("*").alias("n"))
@@ -274,9 +281,6 @@ def remove_repeats(
     cuts = rows.agg(F.percentile_approx("id", [(i + 1) / batches for i in range(batches - 1)]).alias("c")).first().c
     edges = [None, *sorted(set(cuts or [])), None]
     own = index or FingerprintIndex(spark, keep_windows=False)
-    co_located = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(co_located)
-    spark.conf.set(co_located, "false")  # buckets by anchor hash serve joins by anchor hash and context
     stretches = None
     try:
         for k, (low, high) in enumerate(zip(edges, edges[1:])):
@@ -285,7 +289,6 @@ def remove_repeats(
             found = _batch(batch, rows.filter(upto), own, scratch, str(k))
             stretches = found if stretches is None else stretches.union(found)
     finally:
-        spark.conf.set(co_located, before)
         if index is None:
             own.drop()
     per_row = stretches.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("gone"))

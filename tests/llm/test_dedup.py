@@ -206,6 +206,21 @@ def test_windows_index_finds_passages_of_earlier_calls(spark):
     index.drop()
 
 
+def test_windows_three_calls_against_brute_force(spark):
+    docs = [(i, t) for i, t in planted(7) if i is not None and i != 107]
+    random.Random(1).shuffle(docs)
+    index, earlier = substring_dedup.FingerprintIndex(spark, "test_three", 4, max_runs=2), []
+    for k in range(3):
+        call = docs[k::3]
+        got = substring_dedup.remove_repeats(spark.createDataFrame(call, "doc_id long, text string"), index=index, batches=2).collect()
+        # by rank a row of an earlier call comes before all rows of a later one
+        ranked = [((n, i), t) for n, rows in enumerate([*earlier, call]) for i, t in rows]
+        want = [(i[1], *rest) for i, *rest in plain_removal(ranked) if i[0] == k]
+        assert sorted(map(tuple, got)) == sorted(want)
+        earlier.append(call)
+    index.drop()
+
+
 def test_windows_awkward(awkward, empty):
     want = plain_removal([(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
     got = substring_dedup.remove_repeats(awkward).collect()
