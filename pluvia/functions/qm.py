@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.et0 import known
+from pluvia.operators.ranks import quantiles
+from pluvia.operators.skew import skewed_left
 
 KNOTS, MIN_PAIRS = 100, 100
 
@@ -19,48 +21,64 @@ def complete(pairs: DataFrame, obs: str, sim: str) -> DataFrame:
     return pairs.filter(known(F.col(obs)).isNotNull() & known(F.col(sim)).isNotNull())
 
 
-def fit(pairs: DataFrame, obs: str, sim: str, by: list[str], knots: int = KNOTS) -> DataFrame:
-    """Per group ``xp`` and ``fp``: exact linear quantiles of sim and obs; null below ``MIN_PAIRS`` complete pairs."""
-    at = F.array(*map(F.lit, levels(knots)))
-    enough = F.count("*") >= MIN_PAIRS
-    return complete(pairs, obs, sim).groupBy(*by).agg(
-        F.count("*").alias("n_pairs"), F.when(enough, F.percentile(sim, at)).alias("xp"), F.when(enough, F.percentile(obs, at)).alias("fp")
-    )
-
-
-def interpolate(x: Column, xp: str, fp: str, knots: int = KNOTS) -> Column:
-    """Piecewise linear through (xp, fp), constant beyond the ends; equal knots never divide by zero."""
-    j = F.size(F.filter(F.col(xp), lambda v: v <= x))
-    low, high = F.get(fp, j - 1), F.get(fp, j)
-    left, right = F.get(xp, j - 1), F.get(xp, j)
-    inside = low + (high - low) / (right - left) * (x - left)
-    return F.when(x.isNotNull() & F.col(xp).isNotNull(), F.when(j == 0, F.get(fp, F.lit(0))).when(j >= knots, F.get(fp, F.lit(knots - 1))).otherwise(inside))
+def fit(pairs: DataFrame, obs: str, sim: str, by: list[str], knots: int = KNOTS, period: tuple[Column, Column, Column] | None = None) -> DataFrame:
+    """Per group ``xp`` and ``fp``: exact linear quantiles of sim and obs; null below ``MIN_PAIRS`` complete pairs.
 
-
-def apply(pairs: DataFrame, fitted: DataFrame, sim: str, by: list[str], out: str = "corrected") -> DataFrame:
+    ``period`` (a time, its first and its last value) names the base period that the quantiles are taken over.
+    """
+    if period is not None:
+        pairs = pairs.filter(period[0].between(period[1], period[2]))
+    both = complete(pairs, obs, sim).select(*by, F.col(sim).alias("_sim"), F.col(obs).alias("_obs"))
+    of = {name: quantiles(both, by, column, levels(knots)).withColumnRenamed("q", name) for name, column in (("xp", "_sim"), ("fp", "_obs"))}
+    enough = F.col("n_pairs") >= MIN_PAIRS
+    if by:
+        same = [of["xp"][c].eqNullSafe(of["fp"][c]) for c in by]
+        joined = of["xp"].join(of["fp"].drop("total"), same).select(*[of["xp"][c] for c in by], F.col("total").alias("n_pairs"), "xp", "fp")
+    else:
+        joined = of["xp"].withColumnRenamed("total", "n_pairs").crossJoin(of["fp"].drop("total"))  # one row each, or none
+        none = both.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_pairs"), *[F.lit(None).cast("array<double>").alias(c) for c in of])
+        joined = joined.unionByName(none).orderBy(F.col("n_pairs").desc()).limit(1)
+    return joined.select(*by, "n_pairs", *[F.when(enough, F.col(c)).alias(c) for c in of])
+
+
+def apply(pairs: DataFrame, fitted: DataFrame, sim: str, by: list[str], out: str = "corrected", knots: int = KNOTS) -> DataFrame:
     """All rows of ``pairs`` with the corrected value (null where the group's fit is missing).
 
-    ``fitted`` has a row per group; without groups it is one row and is broadcast, else it is joined by the group.
+    Piecewise linear through (xp, fp) and constant beyond the ends; the place among the knots is found once a row.
+    ``fitted`` has a row per group; without groups it is one row and is broadcast, else groups of many rows are.
     """
-    known_sim = known(F.col(sim).cast("double"))
-    joined = pairs.join(fitted.select(*by, "xp", "fp"), by, "left") if by else pairs.crossJoin(F.broadcast(fitted.select("xp", "fp")))
-    return joined.withColumn(out, interpolate(known_sim, "xp", "fp")).drop("xp", "fp")
+    x = known(F.col(sim).cast("double"))
+    fits = fitted.select(*by, "n_pairs", "xp", "fp")
+    total = fits.agg(F.sum("n_pairs")).first()[0] or 0
+    joined = skewed_left(pairs, fits, by, "n_pairs", total).withColumn("_j", F.size(F.filter("xp", lambda v: v <= x)))
+    at = F.col("_j")
+    ends = F.array(F.get("xp", at - 1), F.get("xp", at), F.get("fp", at - 1), F.get("fp", at))
+    joined = joined.withColumn("_k", F.when(at.between(1, knots - 1), ends))
+    left, right, low, high = (F.get("_k", F.lit(i)) for i in range(4))
+    inside = low + (high - low) / (right - left) * (x - left)
+    value = F.when(at == 0, F.get("fp", F.lit(0))).when(at >= knots, F.get("fp", F.lit(knots - 1))).otherwise(inside)
+    return joined.withColumn(out, F.when(x.isNotNull() & F.col("xp").isNotNull(), value)).drop("xp", "fp", "n_pairs", "_j", "_k")
 
 
 def metrics(pairs: DataFrame, obs: str, before: str, after: str, by: list[str]) -> DataFrame:
-    """Bias and RMSE of both columns against ``obs``; missing pairs are skipped."""
+    """Bias, RMSE, mean absolute error and coefficient of determination of both columns against ``obs``; missing pairs
+    are skipped."""
     found = []
     for name, column in (("before", before), ("after", after)):
         gap = known(F.col(column) - F.col(obs))
-        found += [F.avg(gap).alias(f"bias_{name}"), F.sqrt(F.avg(gap * gap)).alias(f"rmse_{name}")]
+        spread = F.var_pop(F.when(gap.isNotNull(), F.col(obs)))
+        found += [
+            F.avg(gap).alias(f"bias_{name}"), F.sqrt(F.avg(gap * gap)).alias(f"rmse_{name}"), F.avg(F.abs(gap)).alias(f"mae_{name}"),
+            (1 - F.try_divide(F.avg(gap * gap), spread)).alias(f"r2_{name}"),
+        ]
     return pairs.groupBy(*by).agg(*found)
 
 
 def scaled(pairs: DataFrame, obs: str, sim: str, by: list[str], variance: bool = False, out: str = "corrected") -> DataFrame:
     """Linear scaling (shift to the observed mean), with ``variance`` also to the observed standard deviation."""
     moments = complete(pairs, obs, sim).groupBy(*by).agg(
-        F.avg(obs).alias("m_obs"), F.avg(sim).alias("m_sim"), F.stddev_pop(obs).alias("s_obs"), F.stddev_pop(sim).alias("s_sim")
+        F.count("*").alias("n_pairs"), F.avg(obs).alias("m_obs"), F.avg(sim).alias("m_sim"), F.stddev_pop(obs).alias("s_obs"), F.stddev_pop(sim).alias("s_sim")
     )
-    joined = pairs.join(moments, by, "left") if by else pairs.crossJoin(F.broadcast(moments))
+    joined = skewed_left(pairs, moments, by, "n_pairs", moments.agg(F.sum("n_pairs")).first()[0] or 0) if by else pairs.crossJoin(F.broadcast(moments))
     gain = F.try_divide("s_obs", "s_sim") if variance else F.lit(1.0)
-    return joined.withColumn(out, F.col("m_obs") + (F.col(sim) - F.col("m_sim")) * gain).drop("m_obs", "m_sim", "s_obs", "s_sim")
+    return joined.withColumn(out, F.col("m_obs") + (F.col(sim) - F.col("m_sim")) * gain).drop("n_pairs", "m_obs", "m_sim", "s_obs", "s_sim")

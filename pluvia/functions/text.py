@@ -47,3 +47,13 @@ def white_fields(line: Column) -> Column:
 
 def sentinel_to_null(value: Column, sentinel: float = -9999) -> Column:
     return F.nullif(value, F.lit(sentinel).cast("double"))
+
+
+def aligned_line(fields: list[tuple[Column, int]], last: Column, gap: str = " | ") -> Column:
+    """A report line: every field padded to its width (a longer one is cut), then ``last`` as it is."""
+    return F.concat_ws(gap, *[F.rpad(c.cast("string"), width, " ") for c, width in fields], last)
+
+
+def joined_lines(order: str, line: str) -> Column:
+    """Aggregate: the lines in the given order, joined by line feeds; for reports of a bounded number of lines."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda s: s[line]), "\n")

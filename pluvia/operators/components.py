@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.operators.skew import skewed_lookup
 from pluvia.session import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction round: neighbours of a node are hung below the least of them."""
+def _star(edges: DataFrame, size: int, large: bool) -> DataFrame:
+    """One contraction round over ``size`` edges: neighbours of a node are hung below the least of them.
+
+    A node of very many neighbours is looked up by broadcast, so that its neighbours stay where they are.
+    """
     if large:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = near.join(least, "a")
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    joined = skewed_lookup(near, least, "a", "n", 2 * size if large else size)
     moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(
         F.col("b").alias("a"), F.col("m").alias("b")
     ).union(least.select("a", F.col("m").alias("b")))
@@ -30,12 +34,14 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     folder, so lineage stays short; the driver sees two sums a round.
     """
     now = scratch.write(edges.filter("a <> b").select("a", "b").distinct(), "edges-0")
-    mark = None
+    mark, size = None, now.count()
     for k in range(1, max_rounds + 1):
-        new = scratch.write(_star(_star(now, True), False), f"edges-{k}")
+        half = scratch.write(_star(now, size, True), f"half-{k}")
+        new = scratch.write(_star(half, half.count(), False), f"edges-{k}")
+        scratch.drop(f"half-{k}")
         scratch.drop(f"edges-{k - 1}")
         got = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = new
+        now, size = new, got[0]
         if got == mark:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

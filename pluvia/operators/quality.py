@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.text import share_percent
+from pluvia.operators.ranks import quantiles
+from pluvia.operators.skew import skewed_left
 
 COMPLETE_ABOVE = 8000
 
@@ -79,12 +81,11 @@ def physical_range(value: Column, low: float, high: float) -> Column:
 
 def iqr_outliers(df: DataFrame, value: str, by: list[str], factor: float = 1.5) -> DataFrame:
     """``df`` with ``is_outlier``: beyond ``factor`` interquartile ranges of the group's quartiles."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = df.groupBy(*by).agg(quartiles.alias("_q"))
-    joined = df.join(bounds, by, "left")
+    bounds = quantiles(df, by, value, [0.25, 0.75]).withColumnRenamed("q", "_q")
+    joined = skewed_left(df, bounds, by, "total", bounds.agg(F.sum("total")).first()[0] or 0)
     low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     width = (high - low) * factor
-    return joined.withColumn("is_outlier", (F.col(value) < low - width) | (F.col(value) > high + width)).drop("_q")
+    return joined.withColumn("is_outlier", (F.col(value) < low - width) | (F.col(value) > high + width)).drop("_q", "total")
 
 
 def fill_gaps(df: DataFrame, value: str, by: list[str], order: str, most: int = 3) -> DataFrame:
@@ -99,3 +100,18 @@ def fill_gaps(df: DataFrame, value: str, by: list[str], order: str, most: int =
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_at") - F.col("_b.at")) / gap
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when((gap > 0) & (gap - 1 < most), line)
     return frame.withColumn(f"{value}_filled", filled).drop("_at", "_known", "_b", "_a")
+
+
+def neighbour_fill(df: DataFrame, neighbours: DataFrame, point: str, ts: str, value: str) -> DataFrame:
+    """``df`` with missing values estimated by linear regression on the neighbour's values of the same time.
+
+    ``neighbours`` has a row per point: ``point`` and ``neighbour``. The line is fitted per point over the times that both
+    have; without a neighbour, a value of it or a line the value stays missing. Filled values are in ``<value>_filled``.
+    """
+    other = df.select(F.col(point).alias("_neighbour"), F.col(ts).alias("_ts"), F.col(value).alias("_other"))
+    pairs = df.join(neighbours.select(F.col(point), F.col("neighbour").alias("_neighbour")), point, "left")
+    pairs = pairs.join(other, (pairs["_neighbour"] == other["_neighbour"]) & (F.col(ts) == F.col("_ts")), "left").drop(other["_neighbour"]).drop("_neighbour", "_ts")
+    lines = pairs.groupBy(point).agg(F.count("*").alias("_n"), F.regr_slope(value, "_other").alias("_slope"), F.regr_intercept(value, "_other").alias("_base"))
+    total = lines.agg(F.sum("_n")).first()[0] or 0
+    filled = skewed_left(pairs, lines, [point], "_n", total)
+    return filled.withColumn(f"{value}_filled", F.coalesce(F.col(value), F.col("_base") + F.col("_slope") * F.col("_other"))).drop("_n", "_slope", "_base", "_other")

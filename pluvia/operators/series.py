@@ -87,6 +87,11 @@ def cyclical_month(ts: Column) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def one_hot_month(ts: Column) -> list[Column]:
+    """Twelve columns, 1 for the month of ``ts`` and 0 for the others; null for a missing time."""
+    return [(F.month(ts) == k).cast("int").alias(f"month_{k}") for k in range(1, 13)]
+
+
 def what_if(df: DataFrame, precip: str, temp: str, precip_change: float, warming: float) -> DataFrame:
     """Perturbed copies of the drivers: precipitation times (1 + change), temperature plus warming."""
     return df.withColumn(precip, F.col(precip) * (1 + precip_change)).withColumn(temp, F.col(temp) + warming)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pluvia.session import Scratch
+
 
 def grid(spark: SparkSession, lat: tuple[float, float] = (32, 42), lon: tuple[float, float] = (110, 123), step: float = 0.5) -> DataFrame:
     """Points of a regular grid, ends included, numbered latitude first. Coordinates are index times step, never sums."""
@@ -52,33 +55,86 @@ def nearest_in_band(left: DataFrame, right: DataFrame, band: float) -> DataFrame
     return _nearest(band_join(left, right, band).filter(F.col("distance") < band))
 
 
+CROWD, FINE = 64, 16
+
+
+def _by_cells(left: DataFrame, right: DataFrame, band: float) -> DataFrame:
+    """Nearest right point of each left point that has one within ``band``, by way of occupied cells.
+
+    Right points are summed up to the boxes of the cells they stand in, ``FINE`` to a band. Of the boxes near a left point
+    only those that can hold its nearest point are opened.
+    """
+    step = band / FINE
+    row, column = F.floor(F.col("lat") / step).cast("long"), F.floor(F.col("lon") / step).cast("long")
+    placed = right.withColumn("row", row).withColumn("column", column)
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat", "lon") for f in (F.min, F.max)]
+    boxes = placed.groupBy("row", "column").agg(*ends).withColumn("key", F.struct("row", "column"))
+    middle = boxes.select(F.struct("key", "min_lat", "max_lat", "min_lon", "max_lon").alias("key"), ((F.col("row") + 0.5) * step).alias("lat"), ((F.col("column") + 0.5) * step).alias("lon"))
+    near = band_join(left, middle, band + step).drop("distance").withColumn("box", F.col("b_key"))
+
+    def reach(c: str, at: str, least: bool) -> Column:
+        below, above = F.col(f"box.min_{c}") - F.col(at), F.col(at) - F.col(f"box.max_{c}")
+        return F.greatest(below, above, F.lit(0.0)) if least else F.greatest(F.abs(below), F.abs(above))
+
+    far = lambda least: F.hypot(reach("lat", "a_lat", least), reach("lon", "a_lon", least))
+    near = near.select("a_key", "a_lat", "a_lon", far(True).alias("from"), far(False).alias("to"), "box.key")
+    some = near.groupBy("a_key", "a_lat", "a_lon").agg(F.min("to").alias("bound"), F.collect_list(F.struct("from", "key")).alias("cells"))  # (2 FINE + 3) ** 2 at most
+    opened = some.select("a_key", "a_lat", "a_lon", F.explode(F.filter("cells", lambda c: c["from"] <= F.col("bound") * (1 + 1e-9))).alias("c"))
+    opened = opened.select("a_key", "a_lat", "a_lon", F.col("c.key.row").alias("row"), F.col("c.key.column").alias("column"))
+    pairs = opened.join(placed.select("row", "column", F.col("key").alias("b_key"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), ["row", "column"])
+    return _nearest(pairs.withColumn("distance", distance(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))))
+
+
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """a_key, b_key and distance of the nearest of all right points; ties by lat, lon, key.
 
-    The band begins at the mean spacing of the right points and doubles for the points that found nothing within it, so
-    no round compares all pairs; the rounds are a logarithm of the extent.
+    Right points of one place count once. The band begins where no cell holds more than ``CROWD`` right points and grows
+    eightfold for the points that found nothing within it; these look at occupied cells first, so that no round
+    compares all pairs. The rounds are a logarithm of the extent, and what a round leaves is written.
     """
-    box = right.agg(
-        F.count("*").alias("n"), F.min("lat").alias("s"), F.max("lat").alias("e"), F.min("lon").alias("w"), F.max("lon").alias("o")
-    ).first()
-    if not box.n:
-        return left.sparkSession.createDataFrame([], "a_key long, b_key long, distance double")
-    reach = left.agg(*[f(c) for c in ("lat", "lon") for f in (F.min, F.max)]).first()
-    if reach[0] is None:
-        return left.sparkSession.createDataFrame([], "a_key long, b_key long, distance double")
-    extent = max(max(reach[1], box.e) - min(reach[0], box.s), max(reach[3], box.o) - min(reach[2], box.w), 1e-9)
-    area = max((box.e - box.s) * (box.o - box.w), 1e-18)
-    band = min(extent, max(2 * math.sqrt(area / box.n), extent * 1e-6))
-    found, rest = None, left
+    spark = left.sparkSession
+    scratch = Scratch(spark, "nearest")
+    right = scratch.write(right.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.min("key").alias("key")).select("key", "lat", "lon"), "right")
+    rest = scratch.write(left.filter("lat IS NOT NULL AND lon IS NOT NULL").select("key", "lat", "lon"), "rest-0")
+    ends = [f(c) for c in ("lat", "lon") for f in (F.min, F.max)]
+    box, reach = right.agg(F.count("*"), *ends).first(), rest.agg(*ends).first()
+    if not box[0] or reach[0] is None:
+        return spark.createDataFrame([], "a_key long, b_key long, distance double")
+    extent = max(max(reach[1], box[2]) - min(reach[0], box[1]), max(reach[3], box[4]) - min(reach[2], box[3]), 1e-9)
+    area = max((box[2] - box[1]) * (box[4] - box[3]), 1e-18)
+    band = min(extent, max(2 * math.sqrt(area / box[0]), extent * 1e-6))
+    while band > extent * 1e-6:
+        cells = right.groupBy(F.floor(F.col("lat") / band), F.floor(F.col("lon") / band)).count()
+        if cells.agg(F.max("count")).first()[0] <= CROWD:
+            break
+        band /= 8
+    found, k = [], 0
     while True:
+        k += 1
         final = band >= extent
-        near = _nearest(band_join(rest, right, band * 1.000001))
-        sure = near if final else near.filter(F.col("distance") <= band)
-        found = sure if found is None else found.unionByName(sure)
+        near = _by_cells(rest, right, band * 1.000001) if k > 1 or final else _nearest(band_join(rest, right, band * 1.000001))
+        found.append(scratch.write(near if final else near.filter(F.col("distance") <= band), f"found-{k}"))
         if final:
-            return found
-        rest = rest.join(sure.select(F.col("a_key").alias("key")), "key", "left_anti")
+            break
+        rest = scratch.write(rest.join(found[-1].select(F.col("a_key").alias("key")), "key", "left_anti"), f"rest-{k}")
+        if rest.isEmpty():
+            break
         band = min(extent, band * 8)
+    return reduce(DataFrame.unionByName, found)
+
+
+def first_match(near: DataFrame, listed: DataFrame, order: str) -> DataFrame:
+    """The match of the station that comes first in the list, which need not be the nearest one: ``near`` has (a_key, ...),
+    ``listed`` the stations (key, ``order``)."""
+    return near.join(listed.select(F.col("key").alias("a_key"), F.col(order).alias("_nth")), "a_key").orderBy("_nth", "a_key").limit(1).drop("_nth")
+
+
+def merged_points(sources: list[DataFrame], places: int = 2) -> DataFrame:
+    """Points (seq, latitude, longitude) of several sources, rounded half to even (as scaled doubles, like numpy does); of
+    points in one place that of the earliest source stays, and within it the least ``seq``."""
+    scale = float(10**places)
+    both = [s.select(F.lit(k).alias("src"), "seq", *[(F.rint(F.col(c) * scale) / scale).alias(c) for c in ("latitude", "longitude")]) for k, s in enumerate(sources)]
+    return dedup_first(reduce(DataFrame.unionByName, both), ["latitude", "longitude"], ["src", "seq"])
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pluvia import sinks
 from pluvia.functions import qm, text
 from pluvia.functions.et0 import et0_fao56, et0_sql
 from pluvia.functions.normal import norm_ppf_sql
-from pluvia.functions.spei import average_rank, drought_level, rolling_sum, spei
-from pluvia.operators import quality, series, spatial, writes
+from pluvia.functions.spei import drought_level, rolling_sum, spei, spei_log_logistic
+from pluvia.operators import quality, ranks, series, spatial, writes
 from pluvia.plans.bindings import MONTHLY_SQL, OBS_SQL, PAIRS_SQL, daily_orders, monthly, obs, pairs, places
 from pluvia.sources import table
 
@@ -177,6 +178,17 @@ def format_values(spark, sf_dir):
     )
 
 
+@query("SELECT p_partkey, p_type FROM part WHERE contains(p_name, '1') AND ends_with(p_type, 'L')")
+def name_filter(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.filter(F.contains("p_name", F.lit("1")) & F.endswith("p_type", F.lit("L"))).select("p_partkey", "p_type")
+
+
+@query("SELECT version() IS NOT NULL AS alive, r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 1")
+def health_probe(spark, sf_dir):
+    return sinks.health_probe(spark, table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "r_regionkey")
+
+
 # --- aggregates and data quality ---------------------------------------------------------------------------------------
 
 
@@ -348,6 +360,44 @@ def nearest_cross(spark, sf_dir):
     return spatial.nearest(places(spark, sf_dir, "supplier"), places(spark, sf_dir, "customer")).withColumn("distance", f4("distance", 9))
 
 
+MATCH_SQL = "(" + NEAR_SQL.format(where="abs(y - v) <= 0.02 AND abs(x - u) <= 0.02", out="distance", filter="WHERE distance < 0.02") + ")"
+LINE_SQL = "rpad(s_name, 20, ' ') || ' | ' || rpad(a_key::VARCHAR, 10, ' ') || ' | ' || rpad(b_key::VARCHAR, 20, ' ') || ' | ' || format('{:.4f}', distance)"
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    stations = places(spark, sf_dir, "supplier")
+    return spatial.nearest_in_band(stations, places(spark, sf_dir, "customer"), 0.02), stations
+
+
+@query(f"SELECT a_key, b_key, {q4('distance', 9)} AS distance FROM {MATCH_SQL} ORDER BY a_key DESC LIMIT 1")
+def first_match(spark, sf_dir):
+    near, stations = _matches(spark, sf_dir)
+    return spatial.first_match(near, stations.withColumn("nth", -F.col("key")), "nth").withColumn("distance", f4("distance", 9))
+
+
+@query(f"""SELECT string_agg(line, chr(10) ORDER BY a_key) AS lines FROM
+    (SELECT a_key, {LINE_SQL} AS line FROM {MATCH_SQL} m JOIN supplier ON s_suppkey = a_key ORDER BY a_key LIMIT 20)""")
+def match_lines(spark, sf_dir):
+    near, _ = _matches(spark, sf_dir)
+    named = near.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a_key"), "s_name"), "a_key")
+    line = text.aligned_line([(F.col("s_name"), 20), (F.col("a_key"), 10), (F.col("b_key"), 20)], text.shown(F.col("distance"), 4))
+    first = named.select("a_key", line.alias("line")).orderBy("a_key").limit(20)
+    return first.agg(text.joined_lines("a_key", "line").alias("lines"))
+
+
+MERGED_SQL = "round_even({0}acctbal / 1000 * 100, 0) / 100 AS latitude, round_even({0}nationkey / 7::DOUBLE * 100, 0) / 100 AS longitude"
+
+
+@query(f"""WITH u AS (SELECT 0 AS src, s_suppkey AS seq, {MERGED_SQL.format('s_')} FROM supplier UNION ALL SELECT 1, c_custkey, {MERGED_SQL.format('c_')} FROM customer)
+    SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY latitude, longitude ORDER BY src, seq) = 1""")
+def merged_points(spark, sf_dir):
+    def of(name: str, key: str) -> DataFrame:
+        t = table(spark, sf_dir, name)
+        return t.select(F.col(key).alias("seq"), (F.col(f"{key[:2]}acctbal") / 1000).alias("latitude"), (F.col(f"{key[:2]}nationkey") / 7).alias("longitude"))
+
+    return spatial.merged_points([of("supplier", "s_suppkey"), of("customer", "c_custkey")])
+
+
 @query("""WITH a AS (SELECT s_suppkey AS a_key, s_nationkey / 50::DOUBLE AS y, s_acctbal / 10000::DOUBLE AS x FROM supplier),
     b AS (SELECT c_nationkey / 50::DOUBLE AS v, c_acctbal / 10000::DOUBLE AS u, c_acctbal AS val FROM customer),
     d AS (SELECT a_key, val, sqrt((y - v) * (y - v) + (x - u) * (x - u)) AS d FROM a, b WHERE abs(y - v) <= 0.02 AND abs(x - u) <= 0.02)
@@ -371,12 +421,29 @@ def join_daily(spark, sf_dir):
     return _stamped(pairs(spark, sf_dir).withColumn("obs", f4("obs")))
 
 
-ROLL_SQL = f"""(SELECT *, CASE WHEN count(*) OVER w = 3 THEN sum(precip - et0) OVER w END AS balance FROM {MONTHLY_SQL}
-    WINDOW w AS (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
-RANK_SQL = f"""(SELECT *, CASE WHEN balance IS NOT NULL THEN rank() OVER (PARTITION BY balance IS NULL ORDER BY balance)
-    + (count(*) OVER (PARTITION BY balance) - 1) / 2::DOUBLE END AS rank, count(balance) OVER () AS n FROM {ROLL_SQL})"""
-SPEI_SQL = f"""(SELECT month, balance, {norm_ppf_sql('p')} AS z FROM (SELECT month, balance, CASE WHEN n >= 30 THEN (rank - 0.35::DOUBLE) / n END AS p FROM {RANK_SQL}))"""
-CLIPPED_SQL = f"(SELECT month, balance, CASE WHEN z IS NOT NULL THEN least(greatest(z, -3::DOUBLE), 3::DOUBLE) END AS spei FROM {SPEI_SQL})"
+def _roll_sql(scale: int) -> str:
+    return f"""(SELECT *, CASE WHEN count(*) OVER w = {scale} THEN sum(precip - et0) OVER w END AS balance FROM {MONTHLY_SQL}
+    WINDOW w AS (ORDER BY month ROWS BETWEEN {scale - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def _rank_sql(scale: int) -> str:
+    return f"""(SELECT *, CASE WHEN balance IS NOT NULL THEN rank() OVER (PARTITION BY balance IS NULL ORDER BY balance)
+    + (count(*) OVER (PARTITION BY balance) - 1) / 2::DOUBLE END AS rank, count(balance) OVER () AS n FROM {_roll_sql(scale)})"""
+
+
+def _clipped_sql(scale: int) -> str:
+    z = f"(SELECT month, balance, {norm_ppf_sql('p')} AS z FROM (SELECT month, balance, CASE WHEN n >= 30 THEN (rank - 0.35::DOUBLE) / n END AS p FROM {_rank_sql(scale)}))"
+    return f"(SELECT month, balance, CASE WHEN z IS NOT NULL THEN least(greatest(z, -3::DOUBLE), 3::DOUBLE) END AS spei FROM {z})"
+
+
+ROLL_SQL, CLIPPED_SQL = _roll_sql(3), _clipped_sql(3)
+LOGISTIC_SQL = f"""(WITH w AS (SELECT month, balance, n, 1 - (rank - 0.35::DOUBLE) / n AS above FROM {_rank_sql(3)}),
+    m AS (SELECT avg(balance) AS w0, avg(above * balance) AS w1, avg(pow(above, 2) * balance) AS w2 FROM w WHERE balance IS NOT NULL),
+    b AS (SELECT *, (2 * w1 - w0) / (6 * w1 - w0 - 6 * w2) AS b FROM m), g AS (SELECT *, (pi() / b) / sin(pi() / b) AS g FROM b),
+    a AS (SELECT *, (w0 - 2 * w1) * b / g AS a FROM g), f AS (SELECT *, w0 - a * g AS c FROM a),
+    p AS (SELECT month, CASE WHEN n < 30 OR balance IS NULL THEN NULL WHEN balance > c THEN least(greatest(1 / (1 + pow(a / (balance - c), b)), 1e-9), 1 - 1e-9::DOUBLE)
+          ELSE 1e-9 END AS p FROM w, f)
+    SELECT month, {norm_ppf_sql('p')} AS z FROM p)"""
 
 
 @query(f"SELECT month, {q4('balance', 2)} AS balance FROM {ROLL_SQL}")
@@ -389,13 +456,13 @@ def rolling_sum_3(spark, sf_dir):
     + (count(*) OVER (PARTITION BY o_orderpriority, floor(o_totalprice / 1000)) - 1) / 2::DOUBLE AS rank FROM orders""")
 def rank_average(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.floor(F.col("o_totalprice") / 1000).alias("v"))
-    return o.withColumn("rank", average_rank(F.col("v"), ["o_orderpriority"])).drop("v")
+    return ranks.with_ranks(o, ["o_orderpriority"], "v").select("o_orderkey", "o_orderpriority", ranks.average_rank().alias("rank"))
 
 
 @query(f"SELECT o_orderkey, {q4('cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice)', 9)} AS share FROM orders")
 def ecdf(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", f4(series.ecdf(F.col("o_totalprice"), ["o_orderpriority"]), 9).alias("share"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranks.with_ranks(o, ["o_orderpriority"], "o_totalprice").select("o_orderkey", f4(ranks.ecdf(), 9).alias("share"))
 
 
 ET0_SQL = f"(SELECT *, {et0_sql('temperature', 'relative_humidity', 'wind_speed', 'shortwave_radiation')} AS et0 FROM {OBS_SQL})"
@@ -424,6 +491,18 @@ def spei_3(spark, sf_dir):
     return _spei(spark, sf_dir).select("month", f4("balance", 2).alias("balance"), f4("spei", 8).alias("spei"))
 
 
+@query(f"SELECT month, {q4('balance', 2)} AS balance, {q4('spei', 8)} AS spei FROM {_clipped_sql(12)}")
+def spei_12(spark, sf_dir):
+    found = spei(monthly(spark, sf_dir), ["point"], "month", "precip", "et0", 12)
+    return found.select("month", f4("balance", 2).alias("balance"), f4("spei", 8).alias("spei"))
+
+
+@query(f"SELECT month, {q4('least(greatest(z, -3::DOUBLE), 3::DOUBLE)', 5)} AS spei FROM {LOGISTIC_SQL} WHERE z IS NOT NULL")
+def spei_logistic(spark, sf_dir):
+    found = spei_log_logistic(monthly(spark, sf_dir), ["point"], "month", "precip", "et0")
+    return found.filter("spei IS NOT NULL").select("month", f4("spei", 5).alias("spei"))
+
+
 @query(f"SELECT count(*) AS months, count(spei) AS known, {q4('avg(spei)', 8)} AS mean, {q4('stddev_pop(spei)', 8)} AS deviation FROM {CLIPPED_SQL}")
 def spei_summary(spark, sf_dir):
     return _spei(spark, sf_dir).agg(
@@ -466,13 +545,30 @@ def qm_apply(spark, sf_dir):
     return _stamped(_applied(spark, sf_dir)).select("date", "sim", f4("corrected", 2).alias("corrected"))
 
 
-@query(f"""SELECT {q4('avg(sim - obs)', 2)} AS bias_before, {q4('sqrt(avg(pow(sim - obs, 2)))', 2)} AS rmse_before,
-    {q4('avg(corrected - obs)', 2)} AS bias_after, {q4('sqrt(avg(pow(corrected - obs, 2)))', 2)} AS rmse_after FROM {APPLY_SQL}""")
+def _metrics_sql(name: str, column: str) -> str:
+    gap = f"({column} - obs)"
+    return f"""{q4(f'avg({gap})', 2)} AS bias_{name}, {q4(f'sqrt(avg(pow({gap}, 2)))', 2)} AS rmse_{name}, {q4(f'avg(abs({gap}))', 2)} AS mae_{name},
+    {q4(f'1 - avg(pow({gap}, 2)) / var_pop(obs)', 2)} AS r2_{name}"""
+
+
+@query(f"SELECT {_metrics_sql('before', 'sim')}, {_metrics_sql('after', 'corrected')} FROM {APPLY_SQL}")
 def qm_metrics(spark, sf_dir):
     found = qm.metrics(_applied(spark, sf_dir), "obs", "sim", "corrected", [])
     return found.select(*[f4(c, 2).alias(c) for c in found.columns])
 
 
+BASE_SQL = f"""(SELECT l_returnflag, quantile_cont(l_extendedprice, {qm.levels()}) AS xp, quantile_cont(l_quantity * 1000, {qm.levels()}) AS fp FROM lineitem
+    WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31' GROUP BY 1)"""
+
+
+@query(f"""SELECT l_returnflag, generate_subscripts(xp, 1)::INT - 1 AS knot, {q4('unnest(xp)')} AS xp, {q4('unnest(fp)')} AS fp FROM {BASE_SQL}""")
+def qm_base_period(spark, sf_dir):
+    both = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_extendedprice", (F.col("l_quantity") * 1000).alias("obs"))
+    period = tuple(map(F.expr, ("l_shipdate", "timestamp_ntz'1995-01-01'", "timestamp_ntz'1998-12-31'")))
+    fitted = qm.fit(both, "obs", "l_extendedprice", ["l_returnflag"], period=period)
+    return fitted.select("l_returnflag", F.posexplode(F.arrays_zip("xp", "fp")).alias("knot", "k")).select("l_returnflag", "knot", f4("k.xp").alias("xp"), f4("k.fp").alias("fp"))
+
+
 @query(f"""SELECT p.date::TIMESTAMP AS date, p.sim, {q4('m.o + (p.sim - m.s) * m.so / m.ss', 2)} AS corrected FROM {PAIRS_SQL} p,
     (SELECT avg(obs) AS o, avg(sim) AS s, stddev_pop(obs) AS so, stddev_pop(sim) AS ss FROM {PAIRS_SQL}) m""")
 def variance_scaling(spark, sf_dir):
@@ -486,9 +582,12 @@ def variance_scaling(spark, sf_dir):
 @query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_id, value FROM events")
 def zip_explode(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("rows"))
-    payload = rows.select("user_id", F.col("rows.event_id").alias("event_id"), F.col("rows.value").alias("value"))
-    return series.zip_explode(payload, ["event_id", "value"], ["user_id"]).withColumn("pos", F.col("pos").cast("long"))
+    block = F.floor(F.col("event_id") / 1000).alias("block")  # so that no array grows with a user's rows
+    rows = e.groupBy("user_id", block).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("rows"))
+    before = F.sum(F.size("rows")).over(Window.partitionBy("user_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    payload = rows.select("user_id", F.coalesce(before, F.lit(0)).alias("before"), F.col("rows.event_id").alias("event_id"), F.col("rows.value").alias("value"))
+    found = series.zip_explode(payload, ["event_id", "value"], ["user_id", "before"])
+    return found.select("user_id", (F.col("before") + F.col("pos")).alias("pos"), "event_id", "value")
 
 
 @query("SELECT * FROM orders WHERE o_orderkey % 3 = 1")
@@ -515,6 +614,24 @@ def schema_evolve(spark, sf_dir):
     return writes.add_missing_columns(o, StructType([StructField("o_totalprice", DoubleType()), StructField("soil_moisture", DoubleType())]))
 
 
+FLAGS_SQL = """(SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, l_returnflag AS flag, CASE WHEN month(l_shipdate) % 5 <> ascii(l_returnflag) % 5
+    THEN sum(l_quantity::DECIMAL(18, 2))::DOUBLE END AS quantity FROM lineitem GROUP BY 1, 2, month(l_shipdate))"""
+
+
+@query(f"""WITH v AS (SELECT month, flag, quantity, CASE flag WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END AS near FROM {FLAGS_SQL}),
+    p AS (SELECT v.month, v.flag, v.quantity, o.quantity AS other FROM v LEFT JOIN v o ON o.month = v.month AND o.flag = v.near),
+    l AS (SELECT flag, regr_slope(quantity, other) AS slope, regr_intercept(quantity, other) AS base FROM p GROUP BY 1)
+    SELECT month, flag, quantity, {q4('coalesce(quantity, base + slope * other)', 3)} AS quantity_filled FROM p JOIN l USING (flag)""")
+def neighbour_fill(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("decimal(18,2)"))  # noqa: E741
+    sums = series.monthly_sum(l, "l_shipdate", ["l_quantity"], ["l_returnflag"])
+    gone = F.month("month") % 5 == F.ascii("l_returnflag") % 5
+    sums = sums.select("month", F.col("l_returnflag").alias("flag"), F.when(~gone, F.col("l_quantity").cast("double")).alias("quantity"))
+    near = spark.createDataFrame([("A", "N"), ("N", "R"), ("R", "A")], "flag string, neighbour string")
+    found = quality.neighbour_fill(sums, near, "flag", "month", "quantity")
+    return found.withColumn("quantity_filled", f4("quantity_filled", 3)).select("month", "flag", "quantity", "quantity_filled")
+
+
 # --- features ---------------------------------------------------------------------------------------------------------------
 
 
@@ -524,11 +641,16 @@ def lag_features(spark, sf_dir):
 
 
 @query("SELECT month, " + ", ".join(
-    f"CASE WHEN count(*) OVER w{k} = {k} THEN {q4(f'{f}(precip) OVER w{k} / {d}', 2)} END AS precip_{n}{k}" for k in (3, 6) for n, f, d in (("mean", "avg", "1"), ("max", "max", "1"))
+    f"CASE WHEN count(*) OVER w{k} = {k} THEN {q4(f'{f}(precip) OVER w{k} / {d}', 2)} END AS precip_{n}{k}" for k in (3, 6) for n, f, d in (("mean", "avg", "1"), ("var", "var_pop", "1e12"), ("max", "max", "1"))
 ) + f" FROM {MONTHLY_SQL} WINDOW w3 AS (ORDER BY month ROWS 2 PRECEDING), w6 AS (ORDER BY month ROWS 5 PRECEDING)")
 def rolling_stats(spark, sf_dir):
     found = series.rolling_stats(monthly(spark, sf_dir), "precip", ["point"], "month")
-    return found.select("month", *[f4(c, 2).alias(c) for c in found.columns if c.startswith(("precip_mean", "precip_max"))])
+    return found.select("month", *[f4(F.col(c) / (1e12 if "_var" in c else 1), 2).alias(c) for c in found.columns if c.startswith("precip_")])
+
+
+@query(f"SELECT month, {', '.join(f'(month(month) = {k})::INT AS month_{k}' for k in range(1, 13))} FROM {MONTHLY_SQL}")
+def month_one_hot(spark, sf_dir):
+    return monthly(spark, sf_dir).select("month", *series.one_hot_month(F.col("month")))
 
 
 @query(f"SELECT month, {q4('sin(month(month) * 2 * pi() / 12)', 9)} AS month_sin, {q4('cos(month(month) * 2 * pi() / 12)', 9)} AS month_cos FROM {MONTHLY_SQL}")

@@ -30,11 +30,14 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made; it goes when the process ends.
+    Only where a local session names none (tests) a temporary folder is made; it goes when the process ends. On a
+    cluster such a folder would be another one on every machine, so there the setting must be made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="pluvia-")
@@ -42,6 +45,11 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_own_roots[app]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Scratch:
     """Intermediate tables of one query, written as Parquet below :func:`shared_root`.
 

@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.operators.writes import add_missing_columns, insert_ignore, replace_table, upsert, write_observations
+from pluvia.session import Scratch, exists
 
 OBSERVATION_KEYS = ["latitude", "longitude", "timestamp"]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def append_new_observations(spark: SparkSession, new: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Insert-or-ignore into the year-partitioned table: only the years of the batch are read for known keys."""
     order = order or OBSERVATION_KEYS
@@ -28,13 +24,25 @@ def append_new_observations(spark: SparkSession, new: DataFrame, path: str, orde
 
 
 def upsert_samples(spark: SparkSession, new: DataFrame, path: str, order: list[str]) -> None:
-    """Upsert by timestamp into a table that is replaced as a whole; columns that the table lacks are added."""
-    if not exists(spark, path):
-        old = new.limit(0)
+    """Upsert by timestamp; columns that the table lacks are added.
+
+    The table is partitioned by day (``sample_date``), and only the days of the batch are read and replaced.
+    """
+    day = F.to_date("timestamp")
+    scratch = Scratch(spark, "upsert")
+    new = scratch.write(new, "new")  # read more than once
+    if exists(spark, path):
+        old = add_missing_columns(spark.read.option("mergeSchema", True).parquet(path).drop("sample_date"), new.schema)
+        days = [r[0] for r in new.select(day).distinct().collect()]  # a row a day
+        old = old.filter(day.isin(days))
     else:
-        old = add_missing_columns(spark.read.parquet(path), new.schema)
+        old = new.limit(0)
     update = [c for c in new.columns if c not in ("timestamp", *order)]
-    replace_table(spark, upsert(old, new, ["timestamp"], order, update), path)
+    merged = upsert(old, new, ["timestamp"], order, update).withColumn("sample_date", day)
+    merged = scratch.write(merged, "merged")  # as it reads what it replaces
+    dealt = merged.repartition("sample_date").sortWithinPartitions("sample_date", "timestamp")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_date").parquet(path)
+    scratch.drop()
 
 
 def truncate(spark: SparkSession, path: str) -> None:
@@ -53,3 +61,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def health_row(spark: SparkSession, status: str) -> DataFrame:
     return spark.range(1).select(F.expr("uuid()").alias("id"), F.current_timestamp().alias("check_time"), F.lit(status).alias("status"))
+
+
+def health_probe(spark: SparkSession, checks: DataFrame, key: str) -> DataFrame:
+    """One row: whether the engine answers, and the first of the ``checks`` by ``key`` (nulls where there is none)."""
+    alive = spark.sql("SELECT version() IS NOT NULL AS alive")
+    return alive.join(F.broadcast(checks.orderBy(key).limit(1)), F.lit(True), "left")  # one row each

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.text import sentinel_to_null, white_fields
 from pluvia.operators.series import zip_explode
+from pluvia.session import exists
 
 # Fixed schemas and formats of the files.
 STATIONS = "`USAF` string, `WBAN` string, `STATION NAME` string, `CTRY` string, `LAT` double, `LON` double, `ELEV(M)` double, `BEGIN` string, `END` string"
@@ -41,10 +42,17 @@ def study_stations(listed: DataFrame, lat: tuple[float, float] = (32, 42), lon:
 def isd_lite(spark: SparkSession, paths: str | list[str], year: int | None = None) -> DataFrame:
     """Hourly observations of ISD-Lite files (plain or gzip): -9999 is missing, temperatures are in tenths.
 
-    Unreadable files are skipped if the session sets ``spark.sql.files.ignoreCorruptFiles``. One gzip file is one task,
-    so files are the unit of work; ``year`` is tested on the data, never on file names.
+    Files that can't be read are skipped (Spark logs a warning for each), and paths that don't exist too; without any
+    file the frame is empty and has its columns. One gzip file is one task, so files are the unit of work; ``year`` is
+    tested on the data, never on file names.
     """
-    lines = spark.read.text(paths).filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), white_fields(F.col("value")).alias("f"))
+    there = [p for p in ([paths] if isinstance(paths, str) else paths) if any(c in p for c in "*?[{") or exists(spark, p)]
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if there:
+        lines = reader.text(there).select("value", F.col("_metadata.file_path").alias("file"))
+    else:
+        lines = spark.createDataFrame([], "value string, file string")
+    lines = lines.filter(F.trim("value") != "").select("file", white_fields(F.col("value")).alias("f"))
     values = lines.select("file", *[sentinel_to_null(F.get("f", F.lit(i)).cast("double")).alias(n) for i, n in enumerate(ISD_FIELDS)])
     if year is not None:
         values = values.filter(F.col("Year") == year)

@@ -145,3 +145,39 @@ def test_formats(spark):
     )
     assert list(row) == [row[0], "-", "1.23e-3", "0.0000", "0.5000", "-", "1,234,567", "0", "005424-999999", None, 25.0]
     assert math.isclose(float(row[0]), 1.3, abs_tol=0.06)
+
+
+def test_log_logistic_spei_by_its_moments(spark):
+    from statistics import NormalDist
+
+    from pluvia.functions.spei import spei_log_logistic
+
+    draw = np.random.default_rng(6)
+    x = draw.gamma(3.0, 20.0, 240) - 30
+    df = spark.createDataFrame([(1, i, float(v), 0.0) for i, v in enumerate(x)], "point int, t int, precip double, et0 double")
+    got = [r.spei for r in spei_log_logistic(df, ["point"], "t", "precip", "et0", 1).orderBy("t").collect()]
+    above = 1 - (x.argsort().argsort() + 1 - 0.35) / len(x)
+    w0, w1, w2 = (np.mean(above**k * x) for k in range(3))
+    b = (2 * w1 - w0) / (6 * w1 - w0 - 6 * w2)
+    both = math.gamma(1 + 1 / b) * math.gamma(1 - 1 / b)
+    a = (w0 - 2 * w1) * b / both
+    c = w0 - a * both
+    for s, v in zip(got, x):
+        p = 1 / (1 + (a / (v - c)) ** b) if v > c else 1e-9
+        assert abs(s - max(-3, min(3, NormalDist().inv_cdf(min(max(p, 1e-9), 1 - 1e-9))))) < 1e-6
+    assert abs(np.mean(got)) < 0.1 and 0.85 < np.std(got) < 1.15
+    few = spei_log_logistic(df.limit(29), ["point"], "t", "precip", "et0", 1)
+    assert few.filter("spei IS NOT NULL").count() == 0
+
+
+def test_quantile_mapping_over_a_base_period_and_groups(spark):
+    rows = [(g, t, float(t % 50) + g, 2.0 * (t % 50)) for g in (1, 2) for t in range(300)]
+    df = spark.createDataFrame(rows, "g int, t int, obs double, sim double")
+    period = (F.col("t"), F.lit(0), F.lit(149))
+    fitted = qm.fit(df, "obs", "sim", ["g"], period=period)
+    assert {(r.g, r.n_pairs) for r in fitted.collect()} == {(1, 150), (2, 150)}
+    fixed = qm.apply(df, fitted, "sim", ["g"])
+    assert fixed.count() == 600 and fixed.filter("abs(corrected - obs) > 0.51").count() == 0
+    assert qm.apply(df.withColumn("g", F.lit(3)), fitted, "sim", ["g"]).filter("corrected IS NOT NULL").count() == 0
+    row = qm.metrics(fixed, "obs", "sim", "corrected", []).first()
+    assert row.mae_after < 0.3 < row.mae_before and row.r2_after > 0.99 > row.r2_before

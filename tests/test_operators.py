@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pluvia.operators import quality, series, spatial, writes
+from pluvia.operators import quality, ranks, series, spatial, writes
 from pluvia.operators.components import components
 from pluvia.operators.skew import skewed_lookup
 from pluvia.session import Scratch
@@ -140,3 +140,80 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {x: root(x) for x in list(parent)}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "none")).count() == 0
+
+
+def test_nearest_of_clustered_points(spark):
+    import random
+
+    draw = random.Random(9)
+    right = [(draw.gauss(0, 1e-3), draw.gauss(0, 1e-3)) for _ in range(600)] + [(90.0, 90.0), (90.0, 90.0), (40.0, -3.0)]
+    left = [(draw.gauss(0, 1e-3), draw.gauss(0, 1e-3)) for _ in range(60)] + [(draw.uniform(-90, 90), draw.uniform(-90, 90)) for _ in range(25)] + [(90.0, 90.0)]
+    got = {r.a_key: (r.b_key, r.distance) for r in spatial.nearest(points(spark, left), points(spark, right)).collect()}
+    for i, (y, x) in enumerate(left):
+        best = min((((y - v) ** 2 + (x - u) ** 2) ** 0.5, v, u, j) for j, (v, u) in enumerate(right))
+        assert got[i][0] == best[3] and abs(got[i][1] - best[0]) < 1e-12
+
+
+def test_first_match_is_by_list_order(spark):
+    near = spark.createDataFrame([(2, 7, 0.001), (5, 8, 0.15)], "a_key long, b_key long, distance double")
+    listed = spark.createDataFrame([(5, 0), (2, 1), (9, 2)], "key long, nth int")
+    assert tuple(spatial.first_match(near, listed, "nth").first()) == (5, 8, 0.15)
+    assert spatial.first_match(near.limit(0), listed, "nth").count() == 0
+
+
+def test_merged_points_round_half_to_even(spark):
+    import numpy as np
+
+    core = spark.createDataFrame([(0, 2.375, 1.0), (1, 2.381, 1.0)], "seq int, latitude double, longitude double")
+    base = spark.createDataFrame([(0, 2.38, 1.0), (1, 0.125, 0.375)], "seq int, latitude double, longitude double")
+    got = sorted((r.src, r.seq, r.latitude, r.longitude) for r in spatial.merged_points([core, base]).collect())
+    assert got == [(0, 0, 2.38, 1.0), (1, 1, 0.12, 0.38)]
+    values = [*(i / 1000 + 32 for i in range(200)), 2.345, 2.675, 1.005]
+    one = spatial.merged_points([spark.createDataFrame(list(enumerate(values)), "seq int, latitude double").withColumn("longitude", F.col("seq").cast("double"))])
+    assert {r.seq: r.latitude for r in one.collect()} == {i: float(np.round(v, 2)) for i, v in enumerate(values)}
+
+
+def test_ranks_of_groups(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    rows = [(int(g), float(v)) for g, v in zip(draw.integers(0, 3, 900), draw.integers(0, 40, 900) / 7)] + [(1, None), (2, None)] + [(0, 3.0)] * 700
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = ranks.with_ranks(df, ["g"], "v").select("g", "v", ranks.average_rank().alias("rank"), ranks.ecdf().alias("share")).collect()
+    assert len(got) == len(rows)
+    for g in range(3):
+        values = np.array([v for k, v in rows if k == g and v is not None])
+        for r in [r for r in got if r.g == g]:
+            if r.v is None:
+                assert r["rank"] is None and r.share is None
+            else:
+                assert r["rank"] == (values < r.v).sum() + ((values == r.v).sum() + 1) / 2 and abs(r.share - (values <= r.v).mean()) < 1e-12
+        q = ranks.quantiles(df, ["g"], "v", [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]).filter(F.col("g") == g).first()
+        assert q.total == len(values) and np.allclose(q.q, np.quantile(values, [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]))
+    assert ranks.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0 and ranks.with_ranks(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_neighbour_fill(spark):
+    rows = [("a", t, float(2 * t + 1) if t != 3 else None) for t in range(6)] + [("b", t, float(t)) for t in range(6)] + [("c", 0, None)]
+    near = spark.createDataFrame([("a", "b"), ("b", "a")], "p string, neighbour string")
+    got = {(r.p, r.t): r.v_filled for r in quality.neighbour_fill(spark.createDataFrame(rows, "p string, t int, v double"), near, "p", "t", "v").collect()}
+    assert len(got) == 13 and abs(got["a", 3] - 7.0) < 1e-9 and got["b", 3] == 3.0 and got["c", 0] is None
+
+
+def test_replace_table_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writes.replace_table(spark, spark.range(3), path)
+    writes.replace_table(spark, spark.read.parquet(path).filter("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    (tmp_path / "t").rename(tmp_path / "t-replaced")  # a call that ended between its two moves
+    writes.put_back(spark, path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t-replaced").exists()
+
+
+def test_years_are_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(400).selectExpr("CAST(id AS DOUBLE) AS latitude", "0.5D AS longitude", "timestamp_ntz'1990-05-01' AS timestamp")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # small parts would be one task
+    writes.write_observations(df, str(tmp_path / "obs"), files_a_year=4)
+    spark.conf.unset(merging)
+    assert 1 < len(list((tmp_path / "obs" / "obs_year=1990").glob("*.parquet"))) <= 4 and spark.read.parquet(str(tmp_path / "obs")).count() == 400

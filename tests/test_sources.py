@@ -3,6 +3,8 @@ import gzip
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from pluvia import sinks
 from pluvia.sources import weather
 from pluvia.streaming import ingest
@@ -40,6 +42,16 @@ def test_forecast_and_archive(spark):
     assert [(r.timestamp, r.temperature) for r in got] == [(dt.datetime(1970, 1, 1), 0.0), (dt.datetime(1970, 1, 1, 1), 1.0)]
 
 
+def test_unreadable_and_missing_station_files(spark, tmp_path):
+    with gzip.open(tmp_path / "good.gz", "wt") as out:
+        out.write("1990 01 01 00   -50   -80 10250   270    20     4     0 -9999\n")
+    (tmp_path / "bad.gz").write_bytes(b"\x1f\x8b\x08 not a gzip file at all")
+    paths = [str(tmp_path / n) for n in ("good.gz", "bad.gz", "absent.gz")]
+    assert [r.AirTemp for r in weather.isd_lite(spark, paths).collect()] == [-5.0]
+    none = weather.isd_lite(spark, paths[2])
+    assert none.count() == 0 and none.columns == weather.isd_lite(spark, paths).columns
+
+
 def observation_rows(spark, hours, temperature):
     names = [f.split()[0] for f in ingest.OBSERVATIONS.split(", ")]
     rows = [(32.0, 110.0, dt.datetime(2020, 1, 1, h), temperature, *[None] * (len(names) - 4)) for h in hours]
@@ -83,3 +95,45 @@ def test_small_sinks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1
     assert sinks.health_row(spark, "ok").first().status == "ok"
+
+
+def test_upserts_rewrite_the_days_of_the_batch_only(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    at = lambda day, hour: dt.datetime(2026, 1, day, hour)
+    make = lambda rows: spark.createDataFrame(rows, "seq long, timestamp timestamp_ntz, temperature double")
+    sinks.upsert_samples(spark, make([(1, at(1, 0), 1.0), (1, at(2, 0), 2.0)]), path, ["seq"])
+    first = {f.name for f in (tmp_path / "samples" / "sample_date=2026-01-01").glob("*.parquet")}
+    sinks.upsert_samples(spark, make([(2, at(2, 0), 5.0), (2, at(2, 1), 6.0)]).withColumn("humidity", F.lit(3.0)), path, ["seq"])
+    assert {f.name for f in (tmp_path / "samples" / "sample_date=2026-01-01").glob("*.parquet")} == first
+    got = sorted((r.timestamp.day, r.timestamp.hour, r.temperature) for r in spark.read.option("mergeSchema", True).parquet(path).collect())
+    assert got == [(1, 0, 1.0), (2, 0, 5.0), (2, 1, 6.0)]
+
+
+def test_daily_stream(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    observation_rows(spark, range(4), 2.0).write.parquet(landing)
+    late = [f.split()[0] for f in ingest.OBSERVATIONS.split(", ")]
+    rows = [(32.0, 110.0, dt.datetime(2020, 1, 9), 8.0, *[None] * (len(late) - 4))]
+    spark.createDataFrame(rows, ingest.OBSERVATIONS).write.mode("append").parquet(landing)
+    stream = ingest.daily_stream(spark.readStream.schema(ingest.OBSERVATIONS).parquet(landing))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert [(r.temperature, r.n, r.window.start.day) for r in got] == [(2.0, 4, 1)]  # the second day is still open
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from pluvia import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        session.shared_root(fake)
+
+
+def test_health_probe_without_rows(spark):
+    assert sinks.health_probe(spark, sinks.health_row(spark, "ok"), "status").first().status == "ok"
+    row = sinks.health_probe(spark, sinks.health_row(spark, "ok").limit(0), "status").first()
+    assert row.alive and row.status is None
