@@ -86,14 +86,18 @@ win AS (SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word,
         FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 again AS (SELECT doc_id, i FROM win WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
 cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 5) AS r(k) GROUP BY doc_id),
-f AS (SELECT doc_id, words, len(words) AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g')) AS word_chars,
+f AS (SELECT doc_id, words, lines, len(words) AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
       FROM w LEFT JOIN cover USING (doc_id)),
 g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words
-            OR 2 * n_dup_lines > n_lines OR 10 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\pL'))) > 3 * n_words) AS kept
+            OR 2 * n_dup_lines > n_lines OR 10 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\pL'))) > 3 * n_words
+            OR 10 * len(list_filter(words, lambda x: regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) > 6 * n_words
+            OR 50 * len(list_distinct(words)) < n_words OR len(list_filter(words, lambda x: length(x) > 1000)) > 0
+            OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}\x{{b7}}]'))) > 9 * n_lines
+            OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[ \t\r]*$'))) > 3 * n_lines) AS kept
 FROM g
 """
 
