@@ -13,8 +13,10 @@ read whole. Rows that repeat an id are judged each by itself. Only id and text a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 
 from pluvia.llm import boosting
 
-# Fixed patterns of the base kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Fixed patterns of the base kinds. An email's part before the @ is read backwards from there, and an ip begins where a
+# run of digits does (from no other digit of it could a match begin), so that time grows with a text's length only.
+BEFORE_AT, AFTER_AT = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
@@ -34,10 +37,13 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "contact", "account", "identity")
 GENERATORS = {
     "secret": re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"),
-    "contact": re.compile(r"[A-Za-z0-9._%+-]+\s?[(\[{]?(?:at|AT)[)\]}]?\s?[A-Za-z0-9-]+(?:\s?[(\[{]?(?:dot|DOT)[)\]}]?\s?[A-Za-z]{2,})+|\(?0[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}[\x20.-]?[0-9]{3,5}"),
+    "contact": re.compile(r"\(?0[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}[\x20.-]?[0-9]{3,5}"),
     "account": re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?|[0-9]{12,19}"),
     "identity": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{1,2}[0-9]{6,9}[A-Z]?"),
 }
+# A spelled-out address: what follows the name, which is read backwards from here; parts of a host name have 63 characters at most.
+SPELLED = re.compile(r"\s?[(\[{]?(?:at|AT)[)\]}]?\s?[A-Za-z0-9-]{1,63}(?:\s?[(\[{]?(?:dot|DOT)[)\]}]?\s?[A-Za-z]{2,63})+")
+NAME = 64
 TRAINING_TEXTS, PRECISION = 3000, 0.98
 HINTS = {
     "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"),
@@ -60,11 +66,29 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, digits[::-2])) + sum(doubled)) % 10 == 0
 
 
+def emails(text: str) -> list[Span]:
+    found, low, at = [], 0, text.find("@")
+    while at >= 0:
+        name, host = BEFORE_AT.match(text[low:at][::-1]), AFTER_AT.match(text, at + 1)
+        if name and host:
+            found.append(Span("email", at - name.end(), host.end()))
+        low = host.end() if name and host else at + 1
+        at = text.find("@", low)
+    return found
+
+
+def spelled(text: str) -> list[Span]:
+    """Addresses with words in place of their signs."""
+    found = []
+    for m in SPELLED.finditer(text):
+        if name := BEFORE_AT.match(text[max(0, m.start() - NAME) : m.start()][::-1]):
+            found.append(Span("contact", m.start() - name.end(), m.end()))
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost matches of the fixed patterns that pass their check, by kind and start."""
-    found = []
-    if "@" in text:
-        found += [Span("email", *m.span()) for m in EMAIL.finditer(text)]
+    found = emails(text)
     if re.search("[0-9]", text) is None:
         return found
     found += [Span("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
@@ -84,9 +108,8 @@ def candidates(text: str) -> list[Span]:
     A generator is passed over only where its own pattern can't match.
     """
     digit = re.search("[0-9]", text) is not None
-    words = ("at" in text or "AT" in text) and ("dot" in text or "DOT" in text)
-    can = {"secret": True, "contact": digit or words, "account": digit, "identity": digit}
-    return [Span(kind, *m.span()) for kind, pattern in GENERATORS.items() if can[kind] for m in pattern.finditer(text)]
+    found = [Span(kind, *m.span()) for kind, pattern in GENERATORS.items() if digit or kind == "secret" for m in pattern.finditer(text)]
+    return found + (spelled(text) if ("at" in text or "AT" in text) and ("dot" in text or "DOT" in text) else [])
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -177,6 +200,11 @@ class Detector:
 
     @classmethod
     def fit(cls, texts: int = TRAINING_TEXTS, precision: float = PRECISION, seed: int = 11) -> Detector:
+        """The same arguments always give the same detector, fitted once a process."""
+        return _fitted(cls, texts, precision, seed)
+
+    @classmethod
+    def fit_anew(cls, texts: int, precision: float, seed: int) -> Detector:
         draw = np.random.default_rng(seed)
         rows, y, kinds, held = [], [], [], []
         for k in range(texts):
@@ -208,14 +236,27 @@ class Detector:
             return base, []
         sure = 1 / (1 + np.exp(-(self.slope * self.trees.margin(np.array([features(text, s) for s in proposed])) + self.offset)))
         passed = sorted((-p, s.start, s.kind, s) for p, s in zip(sure, proposed) if p >= self.cuts[s.kind])
-        taken, added = list(base), []
+        starts, ends, added = [], [], []  # of what is taken: disjoint and in order
+        for span in sorted(base, key=lambda s: s.start):
+            if ends and span.start < ends[-1]:  # base kinds may overlap one another
+                ends[-1] = max(ends[-1], span.end)
+            else:
+                starts.append(span.start)
+                ends.append(span.end)
         for _, _, _, span in passed:
-            if all(span.end <= t.start or t.end <= span.start for t in taken):
-                taken.append(span)
+            at = bisect_right(starts, span.start)
+            if (at == 0 or ends[at - 1] <= span.start) and (at == len(starts) or span.end <= starts[at]):
+                starts.insert(at, span.start)
+                ends.insert(at, span.end)
                 added.append(span)
         return base, sorted(added, key=lambda s: (ADDED.index(s.kind), s.start))
 
 
+@cache
+def _fitted(kind: type[Detector], texts: int, precision: float, seed: int) -> Detector:
+    return kind.fit_anew(texts, precision, seed)
+
+
 SPAN_TYPE = "array<struct<kind: string, start: long, end: long>>"
 
 
