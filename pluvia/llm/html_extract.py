@@ -18,7 +18,9 @@ the id, url and html columns are read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -84,6 +86,7 @@ class Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Block("html", frozenset(), None, 0)
         self.blocks, self.at = [self.root], self.root
+        self.open: defaultdict[str, list[Block]] = defaultdict(list)  # open blocks by tag, but for the root
         self.left_out: list[str] = []  # the element left out and those open in it
         self.in_link = 0
 
@@ -97,7 +100,7 @@ class Reader(HTMLParser):
                 self.left_out.append(tag)
             return
         self.left_out = []
-        if tag in HEAD or tag == "form" and any(b.tag == "form" for b in self._open()):
+        if tag in HEAD or tag == "form" and self.open["form"]:
             return
         if tag in LEFT_OUT:
             self.left_out.append(tag)
@@ -106,7 +109,7 @@ class Reader(HTMLParser):
             self._end({"p"}, {"td", "th", "table", "button"})
         if tag in SIBLING_ENDS:
             self._end(*SIBLING_ENDS[tag])
-        if tag in ("html", "body") and any(b.tag == tag for b in self._open()):
+        if tag == "html" or tag == "body" and self.open["body"]:
             return
         if tag == "br":
             self.at.runs.append(" ")
@@ -118,6 +121,8 @@ class Reader(HTMLParser):
             self.blocks.append(self.at)
             if tag in VOID:
                 self.at = self.at.parent
+            else:
+                self.open[tag].append(self.at)
         else:
             self.at.inline += 1
             self.in_link += tag == "a"
@@ -134,7 +139,7 @@ class Reader(HTMLParser):
         if first in FOREIGN:
             return tag in ENDS_FOREIGN and HTML_IN_FOREIGN.isdisjoint(self.left_out)
         if tag in CELLS and "table" not in self.left_out:
-            return any(b.tag in CELLS for b in self._open())
+            return any(self.open[t] for t in CELLS)
         return first == "button" and tag == "button" or first == "select" and tag in ENDS_SELECT
 
     def handle_endtag(self, tag):
@@ -145,7 +150,7 @@ class Reader(HTMLParser):
                 while self.left_out.pop() != tag:
                     pass
                 return
-            if self.left_out[0] == "template" or tag not in BLOCKS or not any(b.tag == tag and b.parent for b in self._open()):
+            if self.left_out[0] == "template" or tag not in BLOCKS or not self.open[tag]:
                 return
             self.left_out = []
         if tag in BLOCKS:
@@ -159,20 +164,15 @@ class Reader(HTMLParser):
             if self.in_link:
                 self.at.links += len(data.strip())
 
-    def _open(self) -> Iterator[Block]:
-        block = self.at
-        while block:
-            yield block
-            block = block.parent
-
     def _end(self, tags: set[str], scope: set[str]) -> None:
         """Close the nearest open block of these tags, if no block of ``scope`` stands between."""
-        for block in self._open():
-            if block.tag in tags and block.parent:
-                self.at, self.in_link = block.parent, 0
-                return
-            if block.tag in scope:
-                return
+        deepest = lambda of: max((self.open[t][-1].depth for t in of if self.open[t]), default=-1)
+        depth = deepest(tags)
+        if depth > deepest(scope - tags):
+            while self.at.depth >= depth:
+                self.open[self.at.tag].pop()
+                self.at = self.at.parent
+            self.in_link = 0
 
 
 def read_page(html: str | None) -> list[Block]:
@@ -370,8 +370,12 @@ def example_page(draw: np.random.Generator) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{body}{foot() if chance(0.9) else ''}</body></html>"
 
 
+@cache
 def fit(pages: int = TRAINING_PAGES, seed: int = 5) -> boosting.Trees:
-    """Trees over the blocks of made-up pages; blocks that hold both kinds of text, or none, are left out."""
+    """Trees over the blocks of made-up pages; blocks that hold both kinds of text, or none, are left out.
+
+    The same arguments always give the same trees, fitted once a process.
+    """
     draw = np.random.default_rng(seed)
     rows, labels = [], []
     for _ in range(pages):

@@ -1,6 +1,8 @@
 import hashlib
 import html
+import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -130,14 +132,43 @@ def test_html_held_out(trees):
     assert right >= 140
 
 
-def test_html_decoding_is_consistent(trees):
-    draw = np.random.default_rng(9)
+def every_choice(block):
+    """All consistent choices below a block, as {order: state}; the score is worked out by the caller."""
+    under = lambda b: [b] + [x for c in b.children for x in under(c)]
+    yield {b.order: "main" for b in under(block)}
+    yield {b.order: "other" for b in under(block)}
+    if block.children:
+        for parts in itertools.product(*(list(every_choice(c)) for c in block.children)):
+            yield {block.order: "open"} | {k: v for p in parts for k, v in p.items()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_html_decoding_is_the_best_consistent_choice(seed):
+    draw = np.random.default_rng(seed)
     for _ in range(40):
-        blocks = html_extract.read_page(html_extract.example_page(draw))
+        blocks = [html_extract.Block("html", frozenset(), None, 0)]
+        for k in range(1, int(draw.integers(2, 8))):
+            blocks.append(html_extract.Block("div", frozenset(), blocks[int(draw.integers(max(0, k - 3), k))], k))
+            if draw.random() < 0.6:
+                blocks[-1].runs.append("text")
+        blocks[0].runs += ["x"] * int(draw.integers(2))
         odds = draw.normal(size=len(blocks)) * 3
-        keep = html_extract.decode(blocks, odds)
-        best = [max(-np.logaddexp(0, -o), -np.logaddexp(0, o)) for o in odds]
-        assert len(keep) == len(best)
+        yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+        texts = [any(isinstance(r, str) for r in b.runs) for b in blocks]
+
+        def score(states):
+            parts = {"main": lambda i: yes[i] * (1 + texts[i]), "other": lambda i: no[i] * (1 + texts[i]), "open": lambda i: -html_extract.OPEN_COST + texts[i] * max(yes[i], no[i])}
+            return sum(parts[s](i) for i, s in states.items())
+
+        best = max(every_choice(blocks[0]), key=score)
+        assert html_extract.decode(blocks, odds) == [best[i] == "main" or best[i] == "open" and odds[i] > 0 for i in range(len(blocks))]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000, "<li><div>" * 30_000, "<ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<p><b>" * 50_000, "<table><tr><td>" * 20_000, "<form>" * 60_000])
+def test_html_deep_nesting_takes_time_by_length(page):
+    began = time.perf_counter()
+    assert html_extract.read_page(page + "x")
+    assert time.perf_counter() - began < 20
 
 
 def test_html_awkward(spark, trees):
@@ -177,6 +208,27 @@ def test_quality_verdict_ignores_the_order(spark, sf_dir):
     assert one == two
 
 
+def test_quality_order_is_by_rejection_per_cost(spark, sf_dir):
+    sample = quality.base_features(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
+    dear = "size(filter(words, w -> w RLIKE '.*(a|b|c)+x(y|z)+.*')) >= 0"
+    rules = (quality.Rule("dear", f"{dear} AND n_words > 20"), quality.Rule("cheap", "n_words > 20"), quality.Rule("never", "n_words < 0"))
+    order = quality.rule_order(sample, rules)
+    assert [r.name for r, _, _ in order] == ["cheap", "dear", "never"]
+    assert order[0][2] == order[1][2] > 0 == order[2][2] and order[1][1] > order[0][1] > 0
+    sample.unpersist()
+
+
+@pytest.mark.parametrize("text, rule", [
+    (" ".join(f"LOUD{chr(65 + i)}" for i in range(20)) + " a b", "upper_case_words"), (("one two three four five six seven eight nine ten " + " ".join(f"x{i}" for i in range(60))), None),
+    (" ".join("ab cd ef".split() * 400), "base"), ("w" * 1001 + " plain words that go on" * 30 + " and more words of another kind", "base"),
+    ("\n".join(f"- item {chr(97 + i)} of all" for i in range(20)), "bullet_lines"), ("\n".join(f"read on about {chr(97 + i)} then..." for i in range(20)), "cut_off_lines"),
+    (" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)) + " " + "w" * 1001, "overlong_word"), (" ".join(f"{i} {i}x" for i in range(200)), "letterless_words"),
+])
+def test_quality_rules(spark, text, rule):
+    got = quality.quality_cascade(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.rejected_by == rule and got.kept == (rule is None)
+
+
 def test_quality_uses_no_python(spark, sf_dir):
     plan = quality.base_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -185,11 +237,28 @@ def test_quality_uses_no_python(spark, sf_dir):
 def test_pii_candidates_need_no_digit_elsewhere():
     found = pii.Detector.fit(texts=600)
     for text in ("write to john at example dot com", "mail JOHN AT EXAMPLE DOT COM", "password = abcdefghijklmnopqrstuvwx", "token: 'QwErTyUiOpAsDfGhJkLzXcVbNm'", "plain words"):
-        assert pii.candidates(text) == [pii.Span(k, *m.span()) for k, pattern in pii.GENERATORS.items() for m in pattern.finditer(text)]
+        every = [pii.Span(k, *m.span()) for k, pattern in pii.GENERATORS.items() for m in pattern.finditer(text)] + pii.spelled(text)
+        assert pii.candidates(text) == every
         assert found.spans(text) == found.spans(text + " and some more words that stand between, then 7")
     assert pii.candidates("write to john at example dot com") and pii.candidates("password = abcdefghijklmnopqrstuvwx")
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "1" * 300_000, "a@" * 200_000, "1." * 200_000, "at" * 200_000, "a.b" * 200_000 + "@", "+1" + "(" * 500_000, "A1" * 200_000, "1-" * 300_000, "john at x dot com " * 20_000, "+" * 300_000])
+def test_pii_very_long_runs(detector, text):
+    base, added = detector.spans(text)
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in base] == (plain_base(text) if len(text) <= 1000 else [f"{s.kind}:{s.start}:{s.end}" for s in base])
+    assert len(added) >= 0 and pii.Detector.fit() is detector
+    small = text[:700]
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in pii.base_spans(small)] == plain_base(small)
+
+
+def test_pii_base_of_random_strings():
+    draw = np.random.default_rng(8)
+    for _ in range(3000):
+        text = "".join(draw.choice(list("a1@.-+ (%_Z29é"), int(draw.integers(0, 60)), p=[0.1, 0.2, 0.1, 0.15, 0.08, 0.05, 0.08, 0.02, 0.02, 0.02, 0.04, 0.05, 0.05, 0.04]))
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in pii.base_spans(text)] == plain_base(text)
+
+
 SIDES = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav>", "<footer>&copy; all rights</footer>"
 STORY = "<article><h1>A title of it</h1><p>Some words of the story, and more of them, as it goes on.</p><p>A last line with words, too.</p></article>"
 
@@ -320,6 +389,25 @@ class PlainKneserNey:
         return logs[0] - logs[1]
 
 
+def plain_evidence(r):
+    if not r:
+        return [0.0] * 5
+    strong = [max(x - 1.5, 0) for x in r]
+    starts = range(0, max(1, len(r) - 10), 10) if len(r) > 20 else [0]
+    return [sum(r) / len(r), max(sum(r[i : i + 20]) for i in starts) / 20, np.log1p(len(r)), sum(strong) / len(r), max(strong)]
+
+
+def test_toxicity_evidence_in_parts():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        r = draw.normal(size=int(draw.integers(0, 120))) * 2
+        hidden = draw.random(len(r)) < 0.2
+        sums, left = toxicity.Evidence.of(np.where(hidden, np.nan, r))
+        if hidden.any():
+            sums.add([(int(i), float(r[i])) for i in np.nonzero(hidden)[0]], left)
+        assert np.allclose(sums.values(), plain_evidence(list(r)))
+
+
 @pytest.mark.parametrize("hot", [0, 40, toxicity.HOT])
 def test_toxicity_against_brute_force(spark, hot):
     draw = np.random.default_rng(3)
@@ -340,8 +428,7 @@ def test_toxicity_against_brute_force(spark, hot):
     found = toxicity._with_evidence(docs, "text", ["doc_id"], model, "all", Scratch(spark, "test-toxicity")).collect()
     assert len(found) == len(texts)
     for r in found:
-        want = toxicity.evidence(np.array([plain.ratio(w) for w in re.findall(r"\w+", texts[r.doc_id].lower())]))
-        assert np.allclose(r[1], want, rtol=1e-4, atol=1e-5)
+        assert np.allclose(r[1], plain_evidence([plain.ratio(w) for w in re.findall(r"\w+", texts[r.doc_id].lower())]), rtol=1e-4, atol=1e-5)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     line = {r.doc_id: 1 / (1 + np.exp(-(np.dot(r[1], model.weights[:-1]) + model.weights[-1]))) for r in found}
     assert all(abs(got[i] - line[i]) < 1e-9 for i in got)
