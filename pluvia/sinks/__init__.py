@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pluvia.operators.writes import add_missing_columns, insert_ignore, replace_table, upsert, write_observations
 from pluvia.session import Scratch, exists
 
+# Fixed schemas of the tables that are planned beside the observations.
+PLANNED = {
+    "stations": "station_id STRING, name_cn STRING, lat DOUBLE, lon DOUBLE, province STRING",
+    "daily_weather": "id BIGINT, station_id STRING, date DATE, t_max DOUBLE, t_min DOUBLE, precip DOUBLE, wind_speed DOUBLE, humidity DOUBLE, source STRING",
+    "spei_results": "station_id STRING, date DATE, spei_1 DOUBLE, spei_3 DOUBLE, spei_12 DOUBLE, drought_level STRING, is_predicted BOOLEAN",
+}
 OBSERVATION_KEYS = ["latitude", "longitude", "timestamp"]
 
 
@@ -67,3 +73,9 @@ def health_probe(spark: SparkSession, checks: DataFrame, key: str) -> DataFrame:
     """One row: whether the engine answers, and the first of the ``checks`` by ``key`` (nulls where there is none)."""
     alive = spark.sql("SELECT version() IS NOT NULL AS alive")
     return alive.join(F.broadcast(checks.orderBy(key).limit(1)), F.lit(True), "left")  # one row each
+
+
+def create_planned(spark: SparkSession, database: str) -> None:
+    """The planned tables, where they aren't there yet."""
+    for name, columns in PLANNED.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")

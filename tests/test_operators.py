@@ -217,3 +217,31 @@ def test_years_are_written_by_several_tasks(spark, tmp_path):
     writes.write_observations(df, str(tmp_path / "obs"), files_a_year=4)
     spark.conf.unset(merging)
     assert 1 < len(list((tmp_path / "obs" / "obs_year=1990").glob("*.parquet"))) <= 4 and spark.read.parquet(str(tmp_path / "obs")).count() == 400
+
+
+def test_forecast_learns_the_season(spark):
+    import math
+    import random
+
+    from pluvia.functions import qm
+    from pluvia.operators import forecast
+
+    draw = random.Random(3)
+    rows = [(p, dt.datetime(1990 + m // 12, m % 12 + 1, 1), 10 * math.sin(m * math.pi / 6) + p + draw.gauss(0, 0.3)) for p in (1, 2) for m in range(240)]
+    df = spark.createDataFrame(rows, "p int, month timestamp_ntz, v double")
+    split = F.lit("2006-01-01").cast("timestamp_ntz")
+    for model, parameters in (("boosted", {"maxIter": 10}), ("forest", {"numTrees": 10})):
+        got = forecast.forecast(df, "v", ["p"], "month", split, model, **parameters)
+        assert got.count() == 2 * 48 and got.agg(F.min("month")).first()[0] == dt.datetime(2006, 1, 1)
+        assert qm.metrics(got.withColumn("mean", F.lit(1.5)), "v", "mean", "predicted", []).first().r2_after > 0.9
+
+
+def test_planned_tables(spark):
+    from pluvia import sinks
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS planned")
+    sinks.create_planned(spark, "planned")
+    sinks.create_planned(spark, "planned")
+    assert {t.name for t in spark.catalog.listTables("planned")} == set(sinks.PLANNED)
+    assert [c.name for c in spark.catalog.listColumns("planned.spei_results")] == ["station_id", "date", "spei_1", "spei_3", "spei_12", "drought_level", "is_predicted"]
+    spark.sql("DROP DATABASE planned CASCADE")
