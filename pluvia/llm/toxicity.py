@@ -43,7 +43,7 @@ from pluvia.session import Scratch
 
 STEM, WINDOW, STEP, STRONG, FOLDS = 5, 20, 10, 1.5, 3
 UNSEEN_FORM = 1 / 64  # what an unseen form of a stem counts as in P(word | stem)
-HOT, FILTER_BITS = 1 << 19, 1 << 25
+HOT, FILTER_BITS = 1 << 17, 1 << 25
 SETS = ("first", "second", "all")  # counts of either half, and of both
 
 
