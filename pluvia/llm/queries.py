@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, html_extract, packing, pii, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from pluvia.llm import exact_dedup, html_extract, packing, periodic_runs, pii, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from pluvia.session import Scratch
 from pluvia.sources import table
 
@@ -134,8 +134,35 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def looped_words(doc_id: Column, words: Column) -> Column:
+    """The words of the contract: of one document in ten the end is replaced by repeats of its own first part."""
+    h = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(1))
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+    return F.when((h % 10 == 0) & (n > 0), again).otherwise(words)
+
+
+def periodic_digest(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", periodic_runs.words_of(F.col("text")).alias("words"))
+    found = periodic_runs.find_runs(rows, words=looped_words(F.col("doc_id"), F.col("words")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("less"))))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), "best.length", (-F.col("best.less")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.less")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_html_extract": op9_html_extract, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_html_extract": op9_html_extract, "op10_pii": op10_pii, "op11_periodic_runs": op11_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
