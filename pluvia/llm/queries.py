@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import exact_dedup, html_extract, packing, periodic_runs, pii, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from pluvia.llm import exact_dedup, html_extract, packing, periodic_runs, pii, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, toxicity, vector_codes, warc
 from pluvia.session import Scratch
 from pluvia.sources import table
 
@@ -125,12 +127,18 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def _counts(kinds: tuple[str, ...]) -> list[Column]:
+    return [F.array_size(F.array_remove(F.transform("base", lambda s: s.kind == kind), False)).cast("long").alias(f"n_{kind}") for kind in kinds]
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"), pii.Detector.fit())
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.array_size(F.array_remove(F.transform("base", lambda s: s.kind == kind), False)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
     return found.select(
-        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
+        "doc_id", *_counts(pii.BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans")
     )
 
 
@@ -161,9 +169,57 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    written = hashlib.sha256(",".join(str(x) for x in codebooks.ravel().tolist()).encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(written).alias("codebooks_sha256"))
+
+
+def op12_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds written one after another."""
+    near = """
+a{k} AS MATERIALIZED (
+  SELECT r, part, any_value(x) AS x, arg_min(entry, d * 1024 + entry) AS entry, min(d) AS d
+  FROM (SELECT r, p.part, x, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{k} USING (part))
+  GROUP BY r, part)"""
+    move = """
+c{j} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c FROM c{k} LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS m
+    FROM (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, range(1, (SELECT w + 1 FROM width)) AS g(i) GROUP BY part, entry, i) GROUP BY part, entry
+  ) USING (part, entry))"""
+    steps = [f(k=k, j=k + 1) for k in range(rounds) for f in (near.format, move.format)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(v)) // 8 AS w FROM v),
+p AS MATERIALIZED (SELECT r, part, v[part * w + 1:part * w + w] AS x FROM v, width, range(8) AS g(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 16),{",".join(steps)},{near.format(k=rounds)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN v USING (r), books
+"""
+
+
+def secret_digest(docs: DataFrame) -> DataFrame:
+    found = secret_scan.find_secrets(docs)
+    every = F.concat("base", F.transform("added", lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"))))
+    rank = F.create_map(*(F.lit(x) for i, kind in enumerate((*secret_scan.BASE, secret_scan.ADDED)) for x in (kind, i)))
+    placed = F.array_sort(F.transform(every, lambda s: F.struct(s.start.alias("start"), F.element_at(rank, s.kind).alias("rank"), s.end.alias("end"), s.kind.alias("kind"))))
+    return found.select(
+        "doc_id", *_counts(secret_scan.BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(placed).alias("spans")
+    )
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_html_extract": op9_html_extract, "op10_pii": op10_pii, "op11_periodic_runs": op11_periodic_runs}
+    return {"op1_packing": op1_packing, "op2_substring_dedup": op2_substring_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_html_extract": op9_html_extract, "op10_pii": op10_pii, "op11_periodic_runs": op11_periodic_runs, "op12_vector_codes": op12_vector_codes, "op13_secrets": op13_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op6_quality": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_vector_codes": op12_sql()}
