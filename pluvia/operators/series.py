@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.et0 import known
 from pluvia.functions.text import white_fields
+from pluvia.operators.writes import with_ids
 
 
 def recent(df: DataFrame, key: str, k: int = 50) -> DataFrame:
@@ -33,9 +34,10 @@ def first_point_series(df: DataFrame, key: str, point: list[str], ts: str, k: in
 def chunks(df: DataFrame, order: list[str], size: int = 10, start: int = 0) -> DataFrame:
     """``df`` with its position and chunk number in the given order, from position ``start`` on.
 
-    Positions are a global sequence: meant for the list of points, which is small; data rows are joined to it.
+    Positions are numbered part by part of a range sort, so no task has all rows.
     """
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.col("seq") >= start).withColumn("chunk", F.floor(F.col("seq") / size))
+    numbered = with_ids(df, -1, order).withColumnRenamed("id", "seq")
+    return numbered.filter(F.col("seq") >= start).withColumn("chunk", F.floor(F.col("seq") / size))
 
 
 def time_axis(spark: SparkSession, start: str, end: str, step: str) -> DataFrame:

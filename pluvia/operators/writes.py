@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 from pluvia.session import Scratch
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of ``new`` to append: the first of each key that ``old`` doesn't have."""
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], how: str | None = None) -> DataFrame:
+    """Rows of ``new`` to append: the first by ``order`` of each key that ``old`` doesn't have. ``how`` hints at the join."""
     first = Window.partitionBy(*keys).orderBy(*order)
     fresh = new.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    return fresh.join(old.select(*keys), keys, "left_anti")
+    known = old.select(*keys)
+    return fresh.join(known.hint(how) if how else known, keys, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], update: list[str]) -> DataFrame:

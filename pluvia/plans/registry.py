@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,9 @@ from pluvia.functions.normal import norm_ppf_sql
 from pluvia.functions.spei import drought_level, rolling_sum, spei, spei_log_logistic
 from pluvia.operators import quality, ranks, series, spatial, writes
 from pluvia.plans.bindings import MONTHLY_SQL, OBS_SQL, PAIRS_SQL, daily_orders, monthly, obs, pairs, places
-from pluvia.sources import table
+from pluvia.session import Scratch
+from pluvia.sources import archive, table
+from pluvia.streaming.ingest import ingest_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -632,6 +635,55 @@ def neighbour_fill(spark, sf_dir):
     return found.withColumn("quantity_filled", f4("quantity_filled", 3)).select("month", "flag", "quantity", "quantity_filled")
 
 
+# --- the archive: landed units, resumed streams, bucketed history -----------------------------------------------------------
+
+#: Observations of four years, so that there are units to prune.
+YEARLY_SQL = f"""(SELECT latitude, longitude, "timestamp" - to_years((id % 4)::INT) AS ts, temperature FROM {OBS_SQL})"""
+LANDED_SQL = f"""(SELECT h.latitude, h.longitude, hour AS "timestamp", {q4('temperature', 6)} AS temperature, chunk, year(hour)::INT AS year FROM
+    (SELECT latitude, longitude, date_trunc('hour', ts)::TIMESTAMP AS hour, avg(temperature) AS temperature FROM {YEARLY_SQL} GROUP BY ALL) h JOIN
+    (SELECT latitude, longitude, ((row_number() OVER (ORDER BY latitude, longitude) - 1) // 10)::INT AS chunk FROM (SELECT DISTINCT latitude, longitude FROM {OBS_SQL})) p USING (latitude, longitude))"""
+
+
+def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Archive blocks of the observations, and the number of chunks."""
+    moved = F.col("timestamp") - F.make_ym_interval((F.col("id") % 4).cast("int"))
+    seen = obs(spark, sf_dir).select("latitude", "longitude", moved.alias("timestamp"), "temperature")
+    points = Scratch(spark, "points").write(archive.numbered_points(seen), "points")
+    return archive.blocks(seen, points), points.agg(F.max("chunk")).first()[0] + 1
+
+
+def _seen(rows: DataFrame) -> DataFrame:
+    return rows.filter("temperature IS NOT NULL").select("latitude", "longitude", "timestamp", f4("temperature", 6).alias("temperature"), "chunk", "year")
+
+
+@query(f"""SELECT * FROM {LANDED_SQL} WHERE year = 2022 AND chunk BETWEEN 2 AND 8""")
+def archive_scan(spark, sf_dir):
+    landing = Scratch(spark, "landing").uri("units")
+    archive.land(_units(spark, sf_dir)[0], landing)
+    return _seen(archive.read_archive(spark, landing).filter("year = 2022 AND chunk BETWEEN 2 AND 8"))
+
+
+@query(f"""SELECT latitude, longitude, "timestamp", temperature FROM {LANDED_SQL}""")
+def archive_resume(spark, sf_dir):
+    scratch = Scratch(spark, "resume")
+    landing, target, check = scratch.uri("landing"), scratch.uri("target"), scratch.uri("checkpoint")
+    units, chunks = _units(spark, sf_dir)
+    half = F.lit(chunks // 2)
+    for part in (F.col("chunk") < half, F.col("chunk") >= half):  # the second run goes on where the first one's checkpoint ends
+        archive.land(units.filter(part), landing)
+        ingest_archive(spark, landing, target, check, chunks, (2021, 2024)).awaitTermination()
+    return _seen(spark.read.parquet(target).withColumns({"chunk": F.lit(0), "year": F.lit(0)})).drop("chunk", "year")
+
+
+@query(f"""SELECT latitude, longitude, "timestamp", temperature FROM {OBS_SQL} QUALIFY row_number() OVER (PARTITION BY latitude, longitude, "timestamp" ORDER BY id % 3 = 1, id) = 1""")
+def insert_bucketed(spark, sf_dir):
+    rows = obs(spark, sf_dir).select("id", "latitude", "longitude", "timestamp", "temperature")
+    kept = sinks.ObservationTable(spark, f"observations_{uuid.uuid4().hex[:12]}", Scratch(spark, "bucketed").uri("observations"))
+    kept.insert(rows.filter("id % 3 <> 1"), ["id"])
+    kept.insert(rows.filter("id % 3 <> 2"), ["id"])
+    return kept.table().select("latitude", "longitude", "timestamp", "temperature")
+
+
 # --- features ---------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +20,86 @@ PLANNED = {
 OBSERVATION_KEYS = ["latitude", "longitude", "timestamp"]
 
 
-def append_new_observations(spark: SparkSession, new: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Insert-or-ignore into the year-partitioned table: only the years of the batch are read for known keys."""
-    order = order or OBSERVATION_KEYS
-    if not exists(spark, path):
-        write_observations(insert_ignore(new.limit(0), new, OBSERVATION_KEYS, order), path)
-        return
-    old = spark.read.parquet(path)
-    years = [r[0] for r in new.select(F.year("timestamp")).distinct().collect()]  # a row a year
-    fresh = insert_ignore(old.filter(F.col("obs_year").isin(years)), new, OBSERVATION_KEYS, order)
-    write_observations(fresh, path)
+def append_new_observations(spark: SparkSession, new: DataFrame, path: str, order: list[str]) -> None:
+    """Insert-or-ignore into the year-partitioned table: only the years of the batch are read for known keys.
+
+    Of several new rows of a key the first by ``order`` stays; columns of ``order`` that the table lacks aren't stored.
+    """
+    new = Scratch(spark, "append").write(new, "new")  # read more than once
+    there = exists(spark, path)
+    old = spark.read.parquet(path) if there else new.limit(0)
+    stored = [c for c in new.columns if c in old.columns] if there else [c for c in new.columns if c not in order or c in OBSERVATION_KEYS]
+    if there:
+        years = [r[0] for r in new.select(F.year("timestamp")).distinct().collect()]  # a row a year
+        old = old.filter(F.col("obs_year").isin(years))
+    write_observations(insert_ignore(old, new, OBSERVATION_KEYS, order).select(*stored), path)
+
+
+class ObservationTable:
+    """Observations in a table partitioned by year and bucketed by place, sorted by place and time.
+
+    ``place`` is a hash of the coordinates: buckets of a double can't serve a join, which compares normalised doubles.
+
+    An insert anti-joins the batch with the years it touches. The batch is dealt by place as the buckets are, so history
+    is read bucket by bucket where it lies and is never shuffled. A place has an hour's row once a key, so a bucket's size
+    is bounded by its places and hours, whatever source sends most.
+
+    The files lie in ``path``, which the driver and all executors must share; a table whose files are there but that the
+    session's catalog doesn't know is taken up again.
+    """
+
+    KEYS = ["place", *OBSERVATION_KEYS]
+
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 16):
+        self.spark, self.name, self.path, self.buckets = spark, name, path.rstrip("/"), buckets
+        if not spark.catalog.tableExists(name) and exists(spark, self.path):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(self.path).schema)
+            spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (obs_year) CLUSTERED BY (place)"
+                f" SORTED BY (place, timestamp) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            )
+            spark.sql(f"MSCK REPAIR TABLE {name}")
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def _dealt(self, new: DataFrame) -> DataFrame:
+        place = F.xxhash64(F.col("latitude") + 0.0, F.col("longitude") + 0.0)  # the sum makes one of both zeros
+        return new.withColumns({"place": place, "obs_year": F.year("timestamp")}).repartition(self.buckets, "place")
+
+    def fresh(self, new: DataFrame, order: list[str]) -> DataFrame:
+        """The rows of ``new`` to append: the first by ``order`` of each key that the table doesn't have."""
+        dealt = self._dealt(new)
+        if not self.spark.catalog.tableExists(self.name):
+            return insert_ignore(dealt.limit(0), dealt, self.KEYS, order)
+        years = [r[0] for r in new.select(F.year("timestamp")).distinct().collect()]  # a row a year
+        old = self.table().filter(F.col("obs_year").isin(years))
+        return insert_ignore(old, dealt, self.KEYS, order, "merge")
+
+    def insert(self, new: DataFrame, order: list[str], keep: list[str] = ()) -> None:
+        """Insert or ignore. The table's columns are those of the first insert, without those of ``order`` that are neither keys nor in ``keep``."""
+        new = Scratch(self.spark, "insert").write(new, "new")  # read more than once
+        there = self.spark.catalog.tableExists(self.name)
+        with place_is_enough(self.spark):
+            found = self.fresh(new, order)
+            if there:
+                found = add_missing_columns(found, self.table().schema).select(*self.table().columns)
+            else:
+                found = found.drop(*(c for c in order if c not in self.KEYS and c not in keep))
+            writer = found.write.mode("append").format("parquet").partitionBy("obs_year").option("path", self.path)
+            writer.bucketBy(self.buckets, "place").sortBy("place", "timestamp").saveAsTable(self.name)
+
+
+@contextmanager
+def place_is_enough(spark: SparkSession) -> Iterator[None]:
+    """Joins planned meanwhile may meet rows that are dealt by some of the join's keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, False)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def upsert_samples(spark: SparkSession, new: DataFrame, path: str, order: list[str]) -> None:

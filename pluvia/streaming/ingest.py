@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pluvia.sinks import append_new_observations, upsert_samples
+from pluvia.sources.archive import stream_archive
 from pluvia.sources.weather import forecast
 
 OBSERVATIONS = (
@@ -16,11 +17,29 @@ OBSERVATIONS = (
 
 
 def ingest_observations(spark: SparkSession, landing: str, target: str, checkpoint: str) -> StreamingQuery:
-    """All Parquet files that have landed since the last run are inserted, known keys ignored."""
+    """All Parquet files that have landed since the last run are inserted, known keys ignored.
+
+    Of several new rows of a key the one that landed first stays: by file time, file and place in the file.
+    """
     arrived = spark.readStream.schema(OBSERVATIONS).parquet(landing)
+    landed = F.struct(*(f"_metadata.{c}" for c in ("file_modification_time", "file_path", "row_index")))
+    arrived = arrived.withColumn("_landed", landed)
+
+    def write(batch: DataFrame, _: int) -> None:
+        append_new_observations(batch.sparkSession, batch, target, ["_landed"])
+
+    return arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_archive(spark: SparkSession, landing: str, target: str, checkpoint: str, chunks: int, years: tuple[int, int]) -> StreamingQuery:
+    """Units of the archive that have landed, in fetching order and behind those that the checkpoint has; known keys ignored.
+
+    A batch that a crash cut short is read again from the same units, and what it had written is known by then.
+    """
+    arrived = stream_archive(spark, landing, chunks, years)
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new_observations(batch.sparkSession, batch, target)
+        append_new_observations(batch.sparkSession, batch, target, ["chunk", "year"])
 
     return arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
