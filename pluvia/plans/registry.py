@@ -17,6 +17,7 @@ from pluvia.operators import quality, ranks, series, spatial, writes
 from pluvia.plans.bindings import MONTHLY_SQL, OBS_SQL, PAIRS_SQL, daily_orders, monthly, obs, pairs, places
 from pluvia.session import Scratch
 from pluvia.sources import archive, table
+from pluvia.streaming import completeness
 from pluvia.streaming.ingest import ingest_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -675,6 +676,21 @@ def archive_resume(spark, sf_dir):
     return _seen(spark.read.parquet(target).withColumns({"chunk": F.lit(0), "year": F.lit(0)})).drop("chunk", "year")
 
 
+@query(f"""WITH h AS (SELECT latitude, longitude, year(ts)::INT AS year, date_trunc('hour', ts) AS hour FROM {YEARLY_SQL}),
+    p AS (SELECT latitude, longitude, unnest([2020, 2021, 2022, 2023, 2024])::INT AS year FROM (SELECT DISTINCT latitude, longitude FROM h))
+    SELECT latitude, longitude, year, CASE WHEN count(DISTINCT hour) > 10 THEN 'complete' WHEN count(hour) > 0 THEN 'partial' ELSE 'missing' END AS status
+    FROM p LEFT JOIN h USING (latitude, longitude, year) GROUP BY 1, 2, 3""")
+def running_completeness(spark, sf_dir):
+    scratch = Scratch(spark, "completeness")
+    moved = F.col("timestamp") - F.make_ym_interval((F.col("id") % 4).cast("int"))
+    seen = obs(spark, sf_dir).select("latitude", "longitude", moved.alias("timestamp"), F.lit(True).alias("seen"), "id")
+    completeness.expected_rows(seen, list(range(2020, 2025))).write.parquet(scratch.uri("landing"))
+    for late in (False, True):  # each run goes on from the state of the one before
+        seen.filter((F.col("id") % 3 == 0) == F.lit(late)).drop("id").write.mode("append").parquet(scratch.uri("landing"))
+        completeness.follow(spark, scratch.uri("landing"), scratch.uri("changes"), scratch.uri("checkpoint"), complete_above=10).awaitTermination()
+    return completeness.latest(spark.read.parquet(scratch.uri("changes"))).select("latitude", "longitude", "year", "status")
+
+
 @query(f"""SELECT latitude, longitude, "timestamp", temperature FROM {OBS_SQL} QUALIFY row_number() OVER (PARTITION BY latitude, longitude, "timestamp" ORDER BY id % 3 = 1, id) = 1""")
 def insert_bucketed(spark, sf_dir):
     rows = obs(spark, sf_dir).select("id", "latitude", "longitude", "timestamp", "temperature")
