@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pluvia.functions.text import share_percent
 from pluvia.operators.ranks import quantiles
 from pluvia.operators.skew import skewed_left
+from pluvia.session import Scratch
 
 COMPLETE_ABOVE = 8000
 
@@ -81,25 +82,25 @@ def physical_range(value: Column, low: float, high: float) -> Column:
 
 def iqr_outliers(df: DataFrame, value: str, by: list[str], factor: float = 1.5) -> DataFrame:
     """``df`` with ``is_outlier``: beyond ``factor`` interquartile ranges of the group's quartiles."""
-    bounds = quantiles(df, by, value, [0.25, 0.75]).withColumnRenamed("q", "_q")
-    joined = skewed_left(df, bounds, by, "total", bounds.agg(F.sum("total")).first()[0] or 0)
-    low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    bounds = Scratch(df.sparkSession, "quartiles").write(quantiles(df, by, value, [0.25, 0.75], "__total", "__q"), "bounds")  # read more than once
+    joined = skewed_left(df, bounds, by, "__total", bounds.agg(F.sum("__total")).first()[0] or 0)
+    low, high = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
     width = (high - low) * factor
-    return joined.withColumn("is_outlier", (F.col(value) < low - width) | (F.col(value) > high + width)).drop("_q", "total")
+    return joined.withColumn("is_outlier", (F.col(value) < low - width) | (F.col(value) > high + width)).drop("__q", "__total")
 
 
 def fill_gaps(df: DataFrame, value: str, by: list[str], order: str, most: int = 3) -> DataFrame:
     """``df`` with gaps of fewer than ``most`` rows between known values filled by a straight line over row positions."""
     w = Window.partitionBy(*by).orderBy(order)
-    frame = df.withColumn("_at", F.row_number().over(w))
-    frame = frame.withColumn("_known", F.when(F.col(value).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(value).alias("v"))))
-    before = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    frame = frame.withColumn("_b", before).withColumn("_a", after)
-    gap = F.col("_a.at") - F.col("_b.at")
-    line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_at") - F.col("_b.at")) / gap
+    frame = df.withColumn("__at", F.row_number().over(w))
+    frame = frame.withColumn("__known", F.when(F.col(value).isNotNull(), F.struct(F.col("__at").alias("at"), F.col(value).alias("v"))))
+    before = F.last("__known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    frame = frame.withColumn("__b", before).withColumn("__a", after)
+    gap = F.col("__a.at") - F.col("__b.at")
+    line = F.col("__b.v") + (F.col("__a.v") - F.col("__b.v")) * (F.col("__at") - F.col("__b.at")) / gap
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when((gap > 0) & (gap - 1 < most), line)
-    return frame.withColumn(f"{value}_filled", filled).drop("_at", "_known", "_b", "_a")
+    return frame.withColumn(f"{value}_filled", filled).drop("__at", "__known", "__b", "__a")
 
 
 def neighbour_fill(df: DataFrame, neighbours: DataFrame, point: str, ts: str, value: str) -> DataFrame:
@@ -108,10 +109,10 @@ def neighbour_fill(df: DataFrame, neighbours: DataFrame, point: str, ts: str, va
     ``neighbours`` has a row per point: ``point`` and ``neighbour``. The line is fitted per point over the times that both
     have; without a neighbour, a value of it or a line the value stays missing. Filled values are in ``<value>_filled``.
     """
-    other = df.select(F.col(point).alias("_neighbour"), F.col(ts).alias("_ts"), F.col(value).alias("_other"))
-    pairs = df.join(neighbours.select(F.col(point), F.col("neighbour").alias("_neighbour")), point, "left")
-    pairs = pairs.join(other, (pairs["_neighbour"] == other["_neighbour"]) & (F.col(ts) == F.col("_ts")), "left").drop(other["_neighbour"]).drop("_neighbour", "_ts")
-    lines = pairs.groupBy(point).agg(F.count("*").alias("_n"), F.regr_slope(value, "_other").alias("_slope"), F.regr_intercept(value, "_other").alias("_base"))
-    total = lines.agg(F.sum("_n")).first()[0] or 0
-    filled = skewed_left(pairs, lines, [point], "_n", total)
-    return filled.withColumn(f"{value}_filled", F.coalesce(F.col(value), F.col("_base") + F.col("_slope") * F.col("_other"))).drop("_n", "_slope", "_base", "_other")
+    other = df.select(F.col(point).alias("__neighbour"), F.col(ts).alias("__ts"), F.col(value).alias("__other"))
+    pairs = df.join(neighbours.select(F.col(point), F.col("neighbour").alias("__neighbour")), point, "left")
+    pairs = pairs.join(other, (pairs["__neighbour"] == other["__neighbour"]) & (F.col(ts) == F.col("__ts")), "left").drop(other["__neighbour"]).drop("__neighbour", "__ts")
+    lines = pairs.groupBy(point).agg(F.count("*").alias("__n"), F.regr_slope(value, "__other").alias("__slope"), F.regr_intercept(value, "__other").alias("__base"))
+    total = lines.agg(F.sum("__n")).first()[0] or 0
+    filled = skewed_left(pairs, lines, [point], "__n", total)
+    return filled.withColumn(f"{value}_filled", F.coalesce(F.col(value), F.col("__base") + F.col("__slope") * F.col("__other"))).drop("__n", "__slope", "__base", "__other")

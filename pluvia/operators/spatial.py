@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pluvia.operators.quadtree import nearest_within
 from pluvia.session import Scratch
 
 
@@ -51,8 +52,11 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_in_band(left: DataFrame, right: DataFrame, band: float) -> DataFrame:
-    """a_key, b_key and distance of the nearest right point in the band and nearer than ``band``; ties by lat, lon, key."""
-    return _nearest(band_join(left, right, band).filter(F.col("distance") < band))
+    """a_key, b_key and distance of the nearest right point in the band and nearer than ``band``; ties by lat, lon, key.
+
+    However many points crowd a cell on either side, no cell's pairs are all compared.
+    """
+    return nearest_within(left, right, band)
 
 
 CROWD, FINE = 64, 16

@@ -379,14 +379,12 @@ def first_match(spark, sf_dir):
     return spatial.first_match(near, stations.withColumn("nth", -F.col("key")), "nth").withColumn("distance", f4("distance", 9))
 
 
-@query(f"""SELECT string_agg(line, chr(10) ORDER BY a_key) AS lines FROM
-    (SELECT a_key, {LINE_SQL} AS line FROM {MATCH_SQL} m JOIN supplier ON s_suppkey = a_key ORDER BY a_key LIMIT 20)""")
+@query(f"SELECT a_key, {LINE_SQL} AS line FROM {MATCH_SQL} m JOIN supplier ON s_suppkey = a_key")
 def match_lines(spark, sf_dir):
     near, _ = _matches(spark, sf_dir)
     named = near.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a_key"), "s_name"), "a_key")
     line = text.aligned_line([(F.col("s_name"), 20), (F.col("a_key"), 10), (F.col("b_key"), 20)], text.shown(F.col("distance"), 4))
-    first = named.select("a_key", line.alias("line")).orderBy("a_key").limit(20)
-    return first.agg(text.joined_lines("a_key", "line").alias("lines"))
+    return named.select("a_key", line.alias("line"))
 
 
 MERGED_SQL = "round_even({0}acctbal / 1000 * 100, 0) / 100 AS latitude, round_even({0}nationkey / 7::DOUBLE * 100, 0) / 100 AS longitude"
@@ -580,6 +578,26 @@ def variance_scaling(spark, sf_dir):
     return _stamped(found).select("date", "sim", f4("corrected", 2).alias("corrected"))
 
 
+#: Daily precipitation of a station and of a model by line status; the model drizzles on other days than the station.
+RAIN_SQL = """(SELECT l_linestatus AS station, l_orderkey * 10 + l_linenumber AS day, greatest(l_quantity - 20, 0) AS obs,
+    greatest(floor(l_extendedprice / 1000) - 12, 0)::DOUBLE AS sim FROM lineitem)"""
+RAIN_FIT_SQL = f"""(SELECT station, quantile_cont(sim, {qm.levels()}) FILTER (wet) AS xp, quantile_cont(obs, {qm.levels()}) FILTER (obs > 0) AS fp FROM
+    (SELECT *, row_number() OVER (PARTITION BY station ORDER BY sim DESC, day) <= count(*) FILTER (obs > 0) OVER (PARTITION BY station) AS wet FROM {RAIN_SQL}) GROUP BY 1)"""
+
+
+@query(f"""SELECT station, day, {q4('CASE WHEN NOT wet THEN 0 WHEN j = 0 THEN fp[1] WHEN j >= 100 THEN fp[100] ELSE fp[j] + (fp[j + 1] - fp[j]) / (xp[j + 1] - xp[j]) * (sim - xp[j]) END', 3)} AS corrected
+    FROM (SELECT r.*, xp, fp, len(list_filter(xp, lambda v: v <= sim)) AS j FROM
+    (SELECT *, row_number() OVER (PARTITION BY station ORDER BY sim DESC, day) <= count(*) FILTER (obs > 0) OVER (PARTITION BY station) AS wet FROM {RAIN_SQL}) r JOIN {RAIN_FIT_SQL} f USING (station))""")
+def qm_precipitation(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    rain = l.select(
+        F.col("l_linestatus").alias("station"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("day"), F.greatest(F.col("l_quantity") - 20, F.lit(0)).alias("obs"),
+        F.greatest(F.floor(F.col("l_extendedprice") / 1000) - 12, F.lit(0)).cast("double").alias("sim"),
+    )
+    found = qm.precipitation(rain, "obs", "sim", ["station"], "day")
+    return found.select("station", "day", f4("corrected", 3).alias("corrected"))
+
+
 # --- nested data, writes ----------------------------------------------------------------------------------------------------
 
 

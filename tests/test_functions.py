@@ -181,3 +181,52 @@ def test_quantile_mapping_over_a_base_period_and_groups(spark):
     assert qm.apply(df.withColumn("g", F.lit(3)), fitted, "sim", ["g"]).filter("corrected IS NOT NULL").count() == 0
     row = qm.metrics(fixed, "obs", "sim", "corrected", []).first()
     assert row.mae_after < 0.3 < row.mae_before and row.r2_after > 0.99 > row.r2_before
+
+
+def rain(spark, seed=5):
+    """Two stations of which the model drizzles too often and one where it is too dry; ties, missing values, clashing names."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for g, wet_obs, wet_sim in (("a", 0.3, 0.7), ("b", 0.6, 0.2), (None, 0.5, 0.5)):
+        for t in range(500):
+            obs = float(np.round(draw.gamma(1.0, 6.0), 1) + 0.1) if draw.random() < wet_obs else 0.0
+            sim = float(np.round(draw.gamma(0.8, 3.0)) + 1) if draw.random() < wet_sim else 0.0
+            rows.append((g, t, None if t % 97 == 0 else obs, float("nan") if t % 89 == 0 else sim, 1, 2, 3, "x"))
+    return rows, spark.createDataFrame(rows, "g string, t int, obs double, sim double, n_pairs int, n int, total int, xp string")
+
+
+def test_precipitation_keeps_the_observed_share_of_wet_days(spark):
+    rows, df = rain(spark)
+    found = qm.precipitation(df, "obs", "sim", ["g"], "t", enough=50)
+    assert found.columns == [*df.columns, "corrected"] and found.count() == len(rows)
+    got = {(r.g, r.t): r for r in found.collect()}
+    assert all(r.n_pairs == 1 and r.n == 2 and r.total == 3 and r.xp == "x" for r in got.values())
+    assert all(got[None, r[1]].corrected is None for r in rows if r[0] is None)  # a null group is none
+    for g in ("a", "b"):
+        full = [(r[1], r[2], r[3]) for r in rows if r[0] == g and r[2] is not None and r[3] == r[3]]
+        k = sum(o > 0 for _, o, _ in full)
+        wet = {t for t, _, _ in sorted(full, key=lambda r: (-r[2], r[0]))[:k]}
+        xp, fp = np.quantile([s for t, _, s in full if t in wet], np.linspace(0, 1, 100)), np.quantile([o for _, o, _ in full if o > 0], np.linspace(0, 1, 100))
+        for t, _, s in full:
+            at = int((xp <= s).sum())
+            inside = fp[at - 1] + (fp[at] - fp[at - 1]) / (xp[at] - xp[at - 1]) * (s - xp[at - 1]) if 0 < at < 100 else fp[0 if at == 0 else 99]
+            assert abs(got[g, t].corrected - (inside if t in wet else 0.0)) < 1e-9
+        assert sum(got[g, t].corrected > 0 for t, _, _ in full) == k
+        assert all(got[g, r[1]].corrected is None for r in rows if r[0] == g and (r[2] is None or r[3] != r[3]))
+    few = qm.precipitation(df.limit(60), "obs", "sim", ["g"], "t")
+    assert few.filter("corrected IS NOT NULL").count() == 0
+    assert qm.precipitation(df.limit(0), "obs", "sim", ["g"], "t").count() == 0
+    alone = qm.precipitation(df.filter("g = 'a'").drop("g"), "obs", "sim", [], "t", enough=50)
+    assert {r.t: r.corrected for r in alone.collect()} == {t: r.corrected for (g, t), r in got.items() if g == "a"}
+
+
+def test_inner_names_do_not_clash(spark):
+    from pluvia.operators import quality, ranks
+
+    df = spark.createDataFrame([("a", i, float(i % 7), i, i, i, i) for i in range(40)], "q string, n int, v double, total int, before int, _at int, n_pairs int")
+    got = ranks.with_ranks(df, ["q"], "v").select("n", "total", "before", ranks.average_rank().alias("rank"))
+    assert got.filter("n = total AND n = before").count() == 40
+    assert quality.iqr_outliers(df, "v", ["q"]).columns == [*df.columns, "is_outlier"]
+    assert quality.fill_gaps(df, "v", ["q"], "n").columns == [*df.columns, "v_filled"]
+    assert qm.apply(df, qm.fit(df, "v", "n", ["q"]), "n", ["q"]).columns == [*df.columns, "corrected"]
+    assert qm.scaled(df, "v", "n", ["q"]).columns == [*df.columns, "corrected"]
