@@ -42,8 +42,8 @@ def test_exact_awkward(awkward, batches):
         assert [g["doc_id"] for g in own if g["kept"]] == [keep]
 
 
-def test_exact_index_lives_on(spark):
-    index = exact_dedup.DigestIndex(spark, "test_digests", 4)
+def test_exact_index_lives_on(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/digests", 4)
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     second = spark.createDataFrame([(4, "b"), (5, "c"), (6, "c"), (1, "a")], "doc_id long, text string")
     assert {r.doc_id for r in exact_dedup.exact_dedup(first, index=index).filter("kept").collect()} == {1, 2}
@@ -54,6 +54,78 @@ def test_exact_index_lives_on(spark):
     assert index.table().count() == 3
     assert exact_dedup.exact_dedup(first, index=index).filter("kept").count() == 0
     index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+class Killed(Exception):
+    pass
+
+
+def dies(monkeypatch, kind, name, after, before=False):
+    """From its ``after``-th call on, a method of ``kind`` is where the process dies: behind what it does, or before."""
+    real, calls = getattr(kind, name), []
+
+    def f(self, *args, **more):
+        calls.append(1)
+        if len(calls) == after and before:
+            raise Killed
+        out = real(self, *args, **more)
+        if len(calls) == after:
+            raise Killed
+        return out
+
+    monkeypatch.setattr(kind, name, f)
+
+
+@pytest.mark.parametrize("step", [("append", 1), ("append", 2), ("_put", 2), ("commit", 1), ("commit", 1, True)])
+def test_a_call_that_died_loses_no_text(spark, tmp_path, step):
+    path = f"file://{tmp_path}/digests"
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    new = spark.createDataFrame([(i, t) for i, t in zip(range(3, 11), "bcdecdfg")], "doc_id long, text string")
+    exact_dedup.exact_dedup(old, index=exact_dedup.DigestIndex(spark, path, 4), batch="b1")
+    with pytest.MonkeyPatch.context() as patch:
+        dies(patch, exact_dedup.DigestIndex, *step)
+        with pytest.raises(Killed):
+            exact_dedup.exact_dedup(new, index=exact_dedup.DigestIndex(spark, path), batch="b2")
+    committed = step[0] == "commit" and len(step) == 2
+    other = spark.createDataFrame([(20, "g"), (21, "h")], "doc_id long, text string")
+    if not committed:  # what the dead call left is nobody's history
+        got = exact_dedup.exact_dedup(other, index=exact_dedup.DigestIndex(spark, path), batch="b3")
+        assert {r.doc_id for r in got.filter("kept").collect()} == {20, 21}
+    spark.sql(f"DROP TABLE {exact_dedup.DigestIndex(spark, path).name}")  # as in another session
+    again = exact_dedup.exact_dedup(new, index=exact_dedup.DigestIndex(spark, path), batch="b2")
+    assert {r.doc_id for r in again.filter("kept").collect()} == ({4, 5, 6, 9, 10} if committed else {4, 5, 6, 9})
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.table().count() == index.table().select("digest").distinct().count() == (7 if committed else 8)
+    third = exact_dedup.exact_dedup(new, index=index, batch="b2")  # once more, whole
+    assert {r.doc_id for r in third.filter("kept").collect()} == {r.doc_id for r in again.filter("kept").collect()}
+    assert exact_dedup.exact_dedup(new, index=index, batch="b4").filter("kept").count() == 0
+    index.drop()
+
+
+@pytest.mark.parametrize("step", [("_put", 1), ("_commit", 1, True), ("_commit", 1), ("clean", 1)])
+def test_compaction_that_died_keeps_the_index(spark, tmp_path, step):
+    path = f"file://{tmp_path}/digests"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate("abcabd")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    exact_dedup.exact_dedup(docs, index=index, batch="b1")
+    with pytest.MonkeyPatch.context() as patch:
+        dies(patch, exact_dedup.DigestIndex, *step)
+        with pytest.raises(Killed):
+            index.compact()
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.table().count() == 4 and index.buckets == 4
+    index.compact()
+    assert index.table().count() == 4 and len(index.batches()) == 1
+    again = exact_dedup.exact_dedup(docs, index=index, batch="b1")  # a batch from before the compaction, done again
+    assert {r.doc_id for r in again.filter("kept").collect()} == {0, 1, 2, 5}
+    more = exact_dedup.exact_dedup(docs.unionByName(docs), index=index, batch="b2")
+    assert more.count() == 12 and more.filter("kept").count() == 0
+    index.compact()
+    assert index.table().count() == 4
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(docs, index=index, batch="it's")
+    index.drop()
 
 
 def test_exact_empty(empty):
