@@ -13,7 +13,7 @@ from pluvia.functions import qm, text
 from pluvia.functions.et0 import et0_fao56, et0_sql
 from pluvia.functions.normal import norm_ppf_sql
 from pluvia.functions.spei import drought_level, rolling_sum, spei, spei_log_logistic
-from pluvia.operators import quality, ranks, series, spatial, writes
+from pluvia.operators import kriging, quality, ranks, series, spatial, writes
 from pluvia.plans.bindings import MONTHLY_SQL, OBS_SQL, PAIRS_SQL, daily_orders, monthly, obs, pairs, places
 from pluvia.session import Scratch
 from pluvia.sources import archive, table
@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
 YEARS = list(range(1995, 2002))
-NAMES = {"rolling_sum_3": "rolling_sum", "spei_3": "spei", "drought_level_monthly": "drought_level"}
+NAMES = {"krige": "kriging", "rolling_sum_3": "rolling_sum", "spei_3": "spei", "drought_level_monthly": "drought_level"}
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -410,6 +410,29 @@ def inverse_distance(spark, sf_dir):
     return spatial.inverse_distance(near.join(values, "b_key"), "value").withColumn("value", f4("value", 2))
 
 
+FACTORS_SQL = "(SELECT c_custkey AS key, c_nationkey / 50::DOUBLE AS lat, c_acctbal / 10000::DOUBLE AS lon, 1 + c_acctbal / 20000 + (c_custkey % 7) / 100::DOUBLE AS value FROM customer)"
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction factors at the customers' places."""
+    values = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (1 + F.col("c_acctbal") / 20000 + (F.col("c_custkey") % 7) / 100).alias("value"))
+    return places(spark, sf_dir, "customer").join(values, "key")
+
+
+@query(f"""WITH p AS (SELECT min(key) AS key, lat, lon, avg(value) AS value FROM {FACTORS_SQL} GROUP BY lat, lon),
+    d AS (SELECT sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) AS distance, a.value - b.value AS gap FROM p a JOIN p b ON a.key < b.key
+    AND abs(a.lat - b.lat) <= 0.05 AND abs(a.lon - b.lon) <= 0.05)
+    SELECT least(floor(distance / (0.05 / 15)), 14)::INT AS bin, count(*) AS n, {q4('avg(distance)', 8)} AS distance, {q4('avg(gap * gap) / 2', 8)} AS gamma FROM d WHERE distance <= 0.05 GROUP BY 1""")
+def variogram(spark, sf_dir):
+    points = Scratch(spark, "factors").write(kriging.known_points(_factors(spark, sf_dir)), "points")
+    return kriging.variogram(points, 0.05).select("bin", "n", f4("distance", 8).alias("distance"), f4("gamma", 8).alias("gamma"))
+
+
+@query(None)
+def krige(spark, sf_dir):
+    return kriging.krige(places(spark, sf_dir, "supplier"), _factors(spark, sf_dir), 0.05).select("a_key", "n", "value")
+
+
 # --- series -------------------------------------------------------------------------------------------------------------
 
 
