@@ -13,7 +13,7 @@ from pluvia.functions import qm, text
 from pluvia.functions.et0 import et0_fao56, et0_sql
 from pluvia.functions.normal import norm_ppf_sql
 from pluvia.functions.spei import drought_level, rolling_sum, spei, spei_log_logistic
-from pluvia.operators import kriging, quality, ranks, series, spatial, writes
+from pluvia.operators import boosted, forecast, kriging, quality, ranks, series, spatial, writes
 from pluvia.plans.bindings import MONTHLY_SQL, OBS_SQL, PAIRS_SQL, daily_orders, monthly, obs, pairs, places
 from pluvia.session import Scratch
 from pluvia.sources import archive, table
@@ -757,6 +757,18 @@ def rolling_stats(spark, sf_dir):
     return found.select("month", *[f4(F.col(c) / (1e12 if "_var" in c else 1), 2).alias(c) for c in found.columns if c.startswith("precip_")])
 
 
+@query(None)
+def forecast_shapley(spark, sf_dir):
+    """Daily order value of each priority from its lags and the season: the best of two settings by folds in time, and what each feature adds."""
+    o = table(spark, sf_dir, "orders")
+    daily = o.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("date")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    frame, names = forecast.lag_features(daily, "total", ["o_orderpriority"], "date", 4)
+    frame = Scratch(spark, "forecast").write(frame, "frame")
+    cuts = [F.lit(f"{year}-01-01").cast("date") for year in (1997, 1998, 1999)]
+    model, _ = boosted.search(frame, "total", names, "date", cuts, [boosted.Setting(4, 2), boosted.Setting(4, 3)], 16)
+    return boosted.explain(frame, model, ["o_orderpriority", "date"])
+
+
 @query(f"SELECT month, {', '.join(f'(month(month) = {k})::INT AS month_{k}' for k in range(1, 13))} FROM {MONTHLY_SQL}")
 def month_one_hot(spark, sf_dir):
     return monthly(spark, sf_dir).select("month", *series.one_hot_month(F.col("month")))
