@@ -13,7 +13,7 @@ from pluvia.functions import qm, text
 from pluvia.functions.et0 import et0_fao56, et0_sql
 from pluvia.functions.normal import norm_ppf_sql
 from pluvia.functions.spei import drought_level, rolling_sum, spei, spei_log_logistic
-from pluvia.operators import boosted, forecast, kriging, quality, ranks, series, spatial, writes
+from pluvia.operators import boosted, forecast, kriging, quality, ranks, refresh, series, spatial, writes
 from pluvia.plans.bindings import MONTHLY_SQL, OBS_SQL, PAIRS_SQL, daily_orders, monthly, obs, pairs, places
 from pluvia.session import Scratch
 from pluvia.sources import archive, table
@@ -541,6 +541,32 @@ def drought_level_monthly(spark, sf_dir):
     return _spei(spark, sf_dir).select("month", f4("spei", 8).alias("spei"), drought_level(F.col("spei")).alias("level"))
 
 
+NATION_SQL = """(SELECT c_nationkey AS point, date_trunc('month', o_orderdate)::TIMESTAMP AS month, sum(o_totalprice::DECIMAL(18, 2)) FILTER (o_orderkey % 3 > 0)::DOUBLE AS precip,
+    sum(o_totalprice::DECIMAL(18, 2)) FILTER (o_orderkey % 3 = 0)::DOUBLE AS et0 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"""
+
+
+@query(f"""WITH b AS (SELECT point, month, CASE WHEN count(precip - et0) OVER w = 3 THEN sum(precip - et0) OVER w END AS balance FROM {NATION_SQL}
+    WINDOW w AS (PARTITION BY point ORDER BY month ROWS 2 PRECEDING)),
+    r AS (SELECT *, CASE WHEN balance IS NOT NULL AND count(balance) OVER (PARTITION BY point) >= 30 THEN (rank() OVER (PARTITION BY point, balance IS NULL ORDER BY balance)
+    + (count(*) OVER (PARTITION BY point, balance) - 1) / 2::DOUBLE - 0.35::DOUBLE) / count(balance) OVER (PARTITION BY point) END AS p FROM b),
+    z AS (SELECT *, {norm_ppf_sql('p')} AS z FROM r)
+    SELECT point, month, {q4('balance', 2)} AS balance, CASE WHEN z IS NOT NULL THEN {q4('least(greatest(z, -3::DOUBLE), 3::DOUBLE)', 8)} END AS spei FROM z""")
+def spei_refresh(spark, sf_dir):
+    """The index of each nation by a first run and two merges of later months."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    third = F.col("o_orderkey") % 3
+    months = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("point"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("t")).agg(
+        F.sum(F.when(third > 0, price)).cast("double").alias("precip"), F.sum(F.when(third == 0, price)).cast("double").alias("et0")
+    )
+    scratch = Scratch(spark, "refresh")
+    months = scratch.write(months, "months")
+    kept = refresh.SpeiTable(spark, scratch.uri("kept"))
+    for low, high in ((1900, 1998), (1998, 2000), (2000, 2100)):
+        kept.merge(months.filter((F.year("t") >= low) & (F.year("t") < high)))
+    return kept.values().select("point", F.col("t").alias("month"), f4("balance", 2).alias("balance"), f4("spei", 8).alias("spei"))
+
+
 # --- quantile mapping -----------------------------------------------------------------------------------------------------
 
 FIT_SQL = f"(SELECT quantile_cont(sim, {qm.levels()}) AS xp, quantile_cont(obs, {qm.levels()}) AS fp, count(*) AS n_pairs FROM {PAIRS_SQL})"
