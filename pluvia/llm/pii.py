@@ -36,14 +36,15 @@ BASE = ("email", "ip", "card", "phone")
 # Generators of further candidates, wide on purpose.
 ADDED = ("secret", "contact", "account", "identity")
 GENERATORS = {
-    "secret": re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"),
-    "contact": re.compile(r"\(?0[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}[\x20.-]?[0-9]{3,5}"),
+    "secret": re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}(?:\.[A-Za-z0-9+/_-]{8,}={0,2})*"),
+    "contact": re.compile(r"\(?0[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}[\x20.-]?[0-9]{3,5}|\(?(?<![0-9])[1-9][0-9]{2}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     "account": re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?|[0-9]{12,19}"),
     "identity": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{1,2}[0-9]{6,9}[A-Z]?"),
 }
 # A spelled-out address: what follows the name, which is read backwards from here; parts of a host name have 63 characters at most.
 SPELLED = re.compile(r"\s?[(\[{]?(?:at|AT)[)\]}]?\s?[A-Za-z0-9-]{1,63}(?:\s?[(\[{]?(?:dot|DOT)[)\]}]?\s?[A-Za-z]{2,63})+")
 NAME = 64
+TOP_LEVEL = frozenset("com org net edu gov int info biz io co ai app dev eu us uk de fr es it nl at ch be se no dk fi pl pt cz ru jp cn in br mx ca au nz".split())  # fixed names
 TRAINING_TEXTS, PRECISION = 3000, 0.98
 HINTS = {
     "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"),
@@ -124,7 +125,8 @@ def features(text: str, span: Span) -> list[float]:
         *(float(span.kind == k) for k in ADDED),
         n, digits / n, letters / n, sum(c in "0123456789abcdefABCDEF" for c in body) / n, sum(c.isupper() for c in body) / n,
         switches / n, len(counts) / n, float(-(counts * np.log2(counts)).sum()), float(len(bare)), float(len(bare) > 11 and luhn(bare)),
-        float(sum(not c.isalnum() for c in body)), float("(" in body or "[" in body), float(before[-1:] in ('"', "'", "=", ":")),
+        float(sum(not c.isalnum() for c in body)), float("(" in body or "[" in body), float(body.count(".")), float(body.count("_") + body.count("-")),
+        sum(c in "aeiouAEIOU" for c in body) / n, float(body[:1] == "0"), float(span.kind == "contact" and re.split("[^A-Za-z]+", body)[-1].lower() in TOP_LEVEL), float(before[-1:] in ('"', "'", "=", ":")),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:].isalnum() or before[-1:] in "/.-_@" and before != ""),
         float(after[:1].isalnum() or after[:1] in "/_@" and after != ""), float(after[:1] in ('"', "'")),
         *(float(any(w in before for w in words)) for words in HINTS.values()),
@@ -153,7 +155,7 @@ def example_text(draw: np.random.Generator) -> tuple[str, list[Span]]:
         for _ in range(int(draw.integers(1, 7))):
             add(case(word()) + pick((" ", " ", " ", ", ", ". ", "\n", "!! ", "### ")))
         quote = pick(('"', '"', "'", ""))
-        what = int(draw.integers(16))
+        what = int(draw.integers(21))
         if what < 3:
             add(case(pick(("token", "api_key", "secret", "password", "auth key"))) + pick((" = ", "=", ": ", " is ")) + quote)
             add(case(pick((chars(hexa, int(pick((32, 40, 64)))), chars(mixed, int(draw.integers(20, 48)))))), "secret")
@@ -167,9 +169,9 @@ def example_text(draw: np.random.Generator) -> tuple[str, list[Span]]:
         elif what == 6:
             add("".join(word() for _ in range(int(draw.integers(4, 8)))))
         elif what == 7:
-            add(word() + pick((" (at) ", "[at]", " at ")) + word() + pick((" (dot) ", "[dot]", " dot ")) + pick(("com", "org", "net")), "contact")
+            add(word() + pick((" (at) ", "[at]", " at ")) + word() + pick((" (dot) ", "[dot]", " dot ")) + pick(("com", "org", "net", "de", "io", "fr", "es")), "contact")
         elif what == 8:
-            add(f"{word()} at the {word()} ")
+            add(f"{word()} at the {word()} " if draw.random() < 0.5 else f"{word()} at {pick(('', 'the '))}{word()} dot {word()} ")
         elif what == 9:
             add(case(pick(("phone ", "call ", "tel: ", "mobile "))))
             add(f"(0{number(2)}) {number(3)}-{number(4)}" if draw.random() < 0.5 else f"0{number(3)} {number(3)}{number(4)}", "contact")
@@ -186,8 +188,23 @@ def example_text(draw: np.random.Generator) -> tuple[str, list[Span]]:
         elif what == 14:
             add(case(pick(("ssn ", "social security ", "passport ", "identity "))))
             add(f"{number(3)}-{number(2)}-{number(4)}" if draw.random() < 0.6 else chars("ABCDEFGH", 2) + number(7), "identity")
+        elif what == 15:
+            add(case(pick(("version ", "build ", "order ", "part no ", "article "))) + pick(("A", "BX", "C", "K")) + number(int(draw.integers(6, 10))))
+        elif what == 16:
+            add(case(pick(("passport no ", "passport: ", "passport number ", "identity no ", "id no "))))
+            add(chars("ABCDEFGHKLMNPRX", int(draw.integers(1, 3))) + number(int(draw.integers(6, 10))), "identity")
+        elif what == 17:
+            add(case(pick(("token ", "auth: ", "bearer ", "session ", ""))) + quote)
+            add("eyJ" + chars(mixed, int(draw.integers(14, 34))) + "." + chars(mixed + "_-", int(draw.integers(20, 90))) + "." + chars(mixed + "_-", int(draw.integers(20, 44))), "secret")
+            add(quote)
+        elif what == 18:  # the name of a setting, not its value
+            add("_".join(pick(("aws", "access", "key", "id", "secret", "token", "user", "max", "name", "client", "region", "default", "path")) for _ in range(int(draw.integers(3, 6)))) + pick((" = ", "=", ": ", " is set ")))
+        elif what == 19:
+            add(case(pick(("phone ", "call ", "tel: ", "mobile ", "fax ", "contact "))))
+            first, sign = pick("23456789") + number(2), pick(("-", ".", " "))
+            add(f"({first}) {number(3)}-{number(4)}" if draw.random() < 0.3 else f"{first}{sign}{number(3)}{sign}{number(4)}", "contact")
         else:
-            add(case(pick(("version ", "build ", "order "))) + pick(("A", "BX")) + number(int(draw.integers(6, 9))))
+            add(case(pick(("order ", "page ", "figure ", "build ", "part no ", "isbn "))) + f"{pick('23456789')}{number(2)}-{number(3)}-{number(4)}")
         add(pick((" ", ". ", "\n", "!! ", "### ", "%%% ")))
     return "".join(parts), spans
 
