@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A document is kept if no rule rejects it, so the verdict doesn't depend on the order of the rules; the cost does. Each
-rule is timed and counted on a sample, and the rules are tried in order of rejections per second: one CASE expression
-stops at the first rule that rejects. Rules over numbers cost next to nothing; those that read every word or line are
-worked out only for documents that no rule before them rejected. A rule is timed over ``COPIES`` of each sampled row, and
-the time of a job that reads the same columns and tests nothing is taken off, so that the rule and not the job is timed.
+A document is kept if no rule rejects it, so the verdict doesn't depend on the order of the rules; the cost does. What
+each rule costs and how often it rejects is estimated on a sample, all rules in one aggregation, and the rules are tried in
+order of rejections per cost: one CASE expression stops at the first rule that rejects. A rule states its cost in
+characters looked at (``work``), so the order follows from the texts and not from a clock: rules over numbers cost next to
+nothing, those that read every word or line are worked out only for documents that no rule before them rejected.
 
 Defined results: a null or word-less text has no words and fails the base rule. Very long texts are handled whole.
 Rows that repeat an id are judged each by itself. Only id and text are read.
@@ -12,7 +12,6 @@ Rows that repeat an id are judged each by itself. Only id and text are read.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,24 +27,25 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a SQL condition over text and the columns of :func:`base_features`."""
+    """``rejects`` is a SQL condition over text and the columns of :func:`base_features`, ``work`` what it costs to test."""
 
     name: str
     rejects: str
+    work: str = "1"
 
 
+# Starting a pattern on a word or a line counts as twelve characters, hashing a word as four.
 RULES = (
     Rule("symbol_density", "10 * n_symbols > n_words"),
     Rule("word_length", "2 * word_chars < 5 * n_words OR word_chars > 12 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
-    Rule("letterless_words", r"10 * size(filter(words, w -> NOT w RLIKE '\\p{L}')) > 3 * n_words"),
-    Rule("upper_case_words", r"10 * size(filter(words, w -> w RLIKE '\\p{Lu}' AND NOT w RLIKE '\\p{Ll}')) > 6 * n_words"),
-    Rule("few_different_words", "50 * size(array_distinct(words)) < n_words"),
-    Rule("overlong_word", "exists(words, w -> length(w) > 1000)"),
-    Rule("bullet_lines", r"10 * size(filter(lines, x -> x RLIKE '^[ \\t]*[-*\u2022\u00b7]')) > 9 * n_lines"),
-    Rule("cut_off_lines", r"10 * size(filter(lines, x -> x RLIKE '(\\.\\.\\.|\u2026)[ \\t\\r]*$')) > 3 * n_lines"),
+    Rule("letterless_words", r"10 * size(filter(words, w -> NOT w RLIKE '\\p{L}')) > 3 * n_words", "12 * n_words"),
+    Rule("upper_case_words", r"10 * size(filter(words, w -> w RLIKE '\\p{Lu}' AND NOT w RLIKE '\\p{Ll}')) > 6 * n_words", "12 * n_words + word_chars"),
+    Rule("few_different_words", "50 * size(array_distinct(words)) < n_words", "4 * n_words + word_chars"),
+    Rule("overlong_word", "exists(words, w -> length(w) > 1000)", "n_words + word_chars"),
+    Rule("bullet_lines", r"10 * size(filter(lines, x -> x RLIKE '^[ \\t]*[-*\u2022\u00b7]')) > 9 * n_lines", "12 * n_lines"),
+    Rule("cut_off_lines", r"10 * size(filter(lines, x -> x RLIKE '(\\.\\.\\.|\u2026)[ \\t\\r]*$')) > 3 * n_lines", "12 * n_lines + length(text)"),
 )
-COPIES, LEAST_SECONDS = 8, 1e-3
 
 
 def _repeat_words(frame: DataFrame) -> DataFrame:
@@ -90,26 +90,21 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def rule_order(sample: DataFrame, rules: tuple[Rule, ...] = RULES, repeats: int = 2) -> list[tuple[Rule, float, float]]:
-    """Rules with seconds and rejected share on the sample, best rejection per second first; ties by cost, then by name."""
-    rows = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
-    nothing = "length(text) + size(words) + size(lines) + n_lines + n_words < 0"
+def rule_order(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
+    """Rules with mean work and rejected share on the sample, best rejection per work first; ties by work, then by name."""
+    parts = [x for r in rules for x in (F.avg(F.expr(r.work).cast("double")), F.avg(F.expr(r.rejects).cast("int")))]
+    row = sample.agg(*[p.alias(str(i)) for i, p in enumerate(parts)]).first()
+    measured = [(rule, max(row[2 * i] or 0.0, 1.0), row[2 * i + 1] or 0.0) for i, rule in enumerate(rules)]
+    return sorted(measured, key=lambda m: (-m[2] / m[1], m[1], m[0].name))
 
-    def run(condition: str) -> tuple[float, int, int]:
-        took = []
-        for _ in range(repeats):
-            began = time.perf_counter()
-            hit, every = rows.agg(F.count_if(F.expr(condition)), F.count("*")).first()
-            took.append(time.perf_counter() - began)
-        return min(took), hit, every
 
-    run(nothing)
-    idle, _, every = run(nothing)
-    measured = []
+def work_done(rows: DataFrame, rules: list[Rule]) -> float:
+    """Work of a cascade that tries ``rules`` in this order and stops at the first that rejects, over all rows."""
+    total, still = F.lit(0.0), F.lit(True)
     for rule in rules:
-        seconds, hit, _ = run(rule.rejects)
-        measured.append((rule, max(seconds - idle, LEAST_SECONDS), hit / max(1, every)))
-    return sorted(measured, key=lambda m: (-m[2] / m[1], m[1], m[0].name))
+        total = total + F.when(still, F.expr(rule.work).cast("double")).otherwise(0.0)
+        still = still & ~F.expr(rule.rejects)
+    return rows.agg(F.sum(total)).first()[0] or 0.0
 
 
 def quality_cascade(
@@ -119,7 +114,7 @@ def quality_cascade(
     rules: tuple[Rule, ...] = RULES,
     sample_rows: int = 2000,
 ) -> DataFrame:
-    """The base columns of each row, with kept and rejected_by (the first rule that rejects; ``base``, a rule or null).
+    """The base columns of each row, with kept and rejected_by (``base``, the rule that the cascade stopped at, or null).
 
     The order of the rules is estimated on a random sample of about ``sample_rows`` rows, those that pass the base rule;
     all rows are judged.
