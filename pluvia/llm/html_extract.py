@@ -60,7 +60,8 @@ GROUPS = {
 }
 TAGS = ("p", "div", "li", "ul", "h1", "h2", "td", "section", "article", "main", "nav", "aside", "header", "footer", "blockquote", "pre", "form")
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
-TRAINING_PAGES, OPEN_COST = 600, 1.0
+TRAINING_PAGES, OPEN_COST = 1000, 1.0
+RIGHTS = re.compile(r"\u00a9|\b[Cc]opyright\b|\(c\) ?[12][0-9]{3}")
 ARTICLE = "\ue000"  # marks article text in made-up pages; no page has it
 
 
@@ -193,12 +194,13 @@ def features(blocks: list[Block]) -> np.ndarray:
     """A row per block."""
     n = len(blocks)
     up = [b.parent.order if b.parent else 0 for b in blocks]
-    own, marks, hits, tags = [0] * n, [0] * n, [0] * n, [0] * n
+    own, marks, hits, tags, rights = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for i, b in enumerate(blocks):
         for r in b.runs:
             if isinstance(r, str):
                 own[i] += len(r.strip())
                 marks[i] += r.count(",") + r.count(".") + r.count("!") + r.count("?")
+                rights[i] += RIGHTS.search(r) is not None
         if b.tokens:
             hits[i] = sum(1 << k for k, words in enumerate(GROUPS.values()) if any(t in words or t.rstrip("s") in words for t in b.tokens))
         tags[i] = 1 << TAGS.index(b.tag) if b.tag in TAGS else 0
@@ -206,7 +208,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     paragraphs = [int(b.tag == "p" and w > 0) for b, w in zip(blocks, own)]
     for i in range(n - 1, 0, -1):
         p = up[i]
-        for sums in (text, link, mark, size, paragraphs):
+        for sums in (text, link, mark, size, paragraphs, rights):
             sums[p] += sums[i]
         deep[p] = max(deep[p], deep[i] + 1)
     path_hits, path_tags = hits[:], tags[:]
@@ -227,7 +229,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     columns = [
         [b.depth for b in blocks], deep, np.log1p(own_), logs, text_ / total, linked, mark_ / full * 100, np.log1p(text_ / size_), np.log1p(size_),
         para_, [len(b.children) for b in blocks], family_, [b.place for b in blocks] / family_, same / family_, logs[before], logs[after],
-        linked[before], linked[after], text_ / full[up], logs[up], linked[up], para_[up], (np.cumsum(own_) - own_) / total,
+        linked[before], linked[after], text_ / full[up], logs[up], linked[up], para_[up], (np.cumsum(own_) - own_) / total, np.minimum(rights, 2), np.array(rights) * 40 / (40 + full),
     ]
     groups = len(GROUPS)
     return np.column_stack([*columns, _bits(hits, groups), _bits(path_hits, groups), _bits(tags, len(TAGS)), _bits(path_tags, len(TAGS))])
@@ -363,11 +365,26 @@ def example_page(draw: np.random.Generator) -> str:
     low = "".join(pick(below)() for _ in range(int(draw.integers(0, 4))))
     inside = below[1]() if chance(0.15) else ""
     body = top + f"<{tag}{named}>{article()}{inside}</{tag}>" + low
+    if chance(0.15):  # laid out by a table: a bar above, links beside, a line below
+        cell = lambda of: f"<td{pick(('', ' width=150', ' valign=top', ' bgcolor=#eeeeee'))}>{of}</td>"
+        bar = f"<tr>{pick(('<td colspan=2>{}</td>', '<td colspan=3><b>{}</b></td>', '<td colspan=2><h1>{}</h1></td>', '<td colspan=2><font size=5>{}</font></td>')).format(words(1, 6))}</tr>"
+        side = cell(pick((lambda: links(2, 9), lambda: "<br>".join(f"<a href='/x'>{word()}</a>" for _ in range(int(draw.integers(2, 9)))), lambda: f"<b>{words(1, 3)}</b><br>" + links(2, 5)))())
+        middle = cell(pick(("{}", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>")).format(article()))
+        line = f"<tr><td colspan=2>{pick(('<small>{}</small>', '<center>{}</center>', '{}', '<p>{}</p>')).format(pick(('&copy; ', 'Copyright ', '')) + words(2, 12))}</td></tr>"
+        cells = side + middle if chance(0.7) else middle + side if chance(0.5) else middle
+        return f"<html><head><title>{words(2, 8)}</title></head><body>{top if chance(0.2) else ''}<table>{bar if chance(0.8) else ''}<tr>{cells}</tr>{line if chance(0.8) else ''}</table>{foot() if chance(0.2) else ''}</body></html>"
     if chance(0.1):
         body = pick(("<form>{}</form>", '<form id="form1" action="/">{}</form>')).format(body)
     if chance(0.4):
         body = pick(('<div class="wrap">{}</div>', "<div>{}</div>", "<main>{}</main>", '<div id="page"><div>{}</div></div>')).format(body)
-    return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{body}{foot() if chance(0.9) else ''}</body></html>"
+    body += foot() if chance(0.9) else ""
+    if chance(0.25):  # names that say nothing
+        names: dict[str, str] = {}
+        hashed = lambda m: m[1] + names.setdefault(m[2], pick(("css-", "sc-", "_", "x")) + "".join(pick("abcdefghjkmnqrstvwxyz0123456789") for _ in range(6))) + m[3]
+        body = re.sub(r"""((?:class|id)=")([^"]*)(")""", hashed, body)
+        if chance(0.5):
+            body = re.sub(r"<(/?)(?:header|footer|aside|section|article|main)\b", r"<\1div", body)
+    return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
 @cache
