@@ -11,7 +11,8 @@ A batch of new documents is merge-joined with the runs, which stay where they ar
 * An anchor hash that came with several contexts: the windows of one holder of each context are digested from the words
   themselves, and those that an earlier document has repeat. This verifies every link that contexts alone don't decide.
 
-Then the batch's new pairs become a run, and the runs are compacted to one when there are more than ``max_runs``.
+Then the batch's new pairs become a run. Runs are compacted by tiers of size: when the last ``fan`` runs are of one tier they
+are merged to one, so over many batches a pair is rewritten a logarithm of times.
 Batches come in order of id, so within a call "earlier" is "smaller id"; what a given index holds from earlier calls is
 earlier than all rows of a call. An index that outlives a call keeps the digests of each pair's windows (16 bytes each,
 about eighteen a pair), so that no earlier text is needed again; one of a single call reads the texts. Digests are of the
@@ -24,6 +25,8 @@ don't remove words from each other; a null id comes after all others. Only id an
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.operators.skew import skewed_lookup
-from pluvia.session import Scratch
+from pluvia.session import Scratch, shared_root
 
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM
@@ -160,48 +163,76 @@ def _windows(texts: DataFrame, held: DataFrame) -> DataFrame:
 
         yield from _batched(every(), [pa.int64()] * 4 + [pa.binary()], ["h", "ctx", "id", "rel", "digest"])
 
-    one = texts.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "text", "at")
+    # the few wanted rows first, so that no other text is looked at for its copies
+    one = texts.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "text", "at")
     return one.mapInArrow(run, "h long, ctx long, id long, rel long, digest binary")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor hash, context) pairs with the place of their first holder."""
+    """Sorted immutable runs of (anchor hash, context) pairs with the place of their first holder.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, max_runs: int = 1, keep_windows: bool = True):
-        self.spark, self.max_runs, self.keep_windows = spark, max_runs, keep_windows
+    Runs are tables whose files lie in the folder that all executors share. A run's name says which batches it has, so a
+    compaction that died before it dropped the runs it had merged leaves none that counts twice.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fan: int = 4, keep_windows: bool = True):
+        self.spark, self.fan, self.keep_windows = spark, fan, keep_windows
         self.columns = ["h", "ctx", *PLACE, *(["turn", "digests"] if keep_windows else [])]
         self.name = name or f"fingerprint_index_{uuid.uuid4().hex[:12]}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.made = 0
+        self.root = f"{shared_root(spark)}/pluvia/{self.name}"
+
+    def _every(self) -> list[tuple[int, int, str]]:
+        """First batch, last batch and name of all runs, by batches."""
+        found = (re.fullmatch(rf"{self.name}_run([0-9]+)to([0-9]+)_[0-9a-f]+", t.name) for t in self.spark.catalog.listTables())
+        return sorted((int(m[1]), int(m[2]), m[0]) for m in found if m)
 
     def runs(self) -> list[str]:
-        prefix = f"{self.name}_run"
-        return sorted(t.name for t in self.spark.catalog.listTables() if t.name.startswith(prefix))
+        every = self._every()
+        return [name for a, b, name in every if not any(c <= a and b <= d and (c, d) != (a, b) for c, d, _ in every)]
 
-    def add_run(self, pairs: DataFrame) -> None:
-        self.made += 1
-        name = f"{self.name}_run{self.made:06d}_{uuid.uuid4().hex[:6]}"
+    def _put(self, pairs: DataFrame, first: int, last: int) -> None:
+        name = f"{self.name}_run{first:06d}to{last:06d}_{uuid.uuid4().hex[:6]}"
         dealt = pairs.select(*self.columns).repartition(self.buckets, "h", "ctx")
-        dealt.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h", "ctx").sortBy("h", "ctx").saveAsTable(name)
+        writer = dealt.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        writer.bucketBy(self.buckets, "h", "ctx").sortBy("h", "ctx").saveAsTable(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def add_run(self, pairs: DataFrame) -> None:
+        batch = max((b for _, b, _ in self._every()), default=0) + 1
+        self._put(pairs, batch, batch)
 
     def turn(self) -> int:
         """Number of the next batch; those of a batch are earlier than those of the batches after it."""
         return max((self.spark.table(name).agg(F.max("turn").alias("t")).first().t or 0 for name in self.runs()), default=0) + 1
 
+    def tier(self, name: str) -> int:
+        return int(math.log(self.spark.table(name).count() + 1, self.fan))
+
     def compact(self) -> None:
-        """Merge the runs to one; no pair is in two of them."""
-        old = self.runs()
-        if len(old) > self.max_runs:
-            whole = self.spark.table(old[0]).select(*self.columns)
-            for name in old[1:]:
+        """Merge the last runs while ``fan`` of them are of one tier; no pair is in two runs."""
+        live = self.runs()
+        for _, _, name in self._every():
+            if name not in live:
+                self._drop(name)
+        while len(live) >= self.fan and len({self.tier(name) for name in live[-self.fan :]}) == 1:
+            merged = live[-self.fan :]
+            whole = self.spark.table(merged[0]).select(*self.columns)
+            for name in merged[1:]:
                 whole = whole.union(self.spark.table(name).select(*self.columns))
-            self.add_run(whole)
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name} PURGE")
+            spans = {name: (a, b) for a, b, name in self._every()}
+            self._put(whole, spans[merged[0]][0], spans[merged[-1]][1])
+            for name in merged:
+                self._drop(name)
+            live = self.runs()
 
     def drop(self) -> None:
-        for name in self.runs():
-            self.spark.sql(f"DROP TABLE {name} PURGE")
+        for _, _, name in self._every():
+            self._drop(name)
 
 
 def _first_holders(found: DataFrame, index: FingerprintIndex, scratch: Scratch, tag: str) -> DataFrame:
@@ -209,13 +240,14 @@ def _first_holders(found: DataFrame, index: FingerprintIndex, scratch: Scratch,
     pairs = found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).withColumn("new", F.lit(True))
     for name in index.runs():
         known = index.spark.table(name).select("h", "ctx", F.struct(*PLACE).alias("old"))
-        pairs = pairs.join(known, ["h", "ctx"], "left")
+        pairs = pairs.join(known.hint("merge"), ["h", "ctx"], "left")
         pairs = pairs.select("h", "ctx", "n", F.coalesce("old", "first").alias("first"), (F.col("new") & F.col("old").isNull()).alias("new"))
     return scratch.write(pairs.select("h", "ctx", "n", "first.*", "new"), f"pairs-{tag}")
 
 
-def _batch(rows: DataFrame, texts: DataFrame, index: FingerprintIndex, scratch: Scratch, tag: str) -> DataFrame:
-    """Repeated stretches (id, th, start, end in words) of a batch; ``texts`` has it and all earlier rows."""
+def _batch(rows: DataFrame, texts: DataFrame, index: FingerprintIndex, scratch: Scratch, tag: str, last: bool) -> DataFrame:
+    """Repeated stretches (id, th, start, end in words) of a batch; ``texts`` has it and all earlier rows. After the
+    ``last`` batch the index isn't looked at again."""
     found = scratch.write(find_anchors(rows), f"anchors-{tag}")
     pairs = _first_holders(found, index, scratch, tag)
     fresh = pairs.filter("new").select("h", "ctx", *PLACE)
@@ -260,8 +292,9 @@ def _batch(rows: DataFrame, texts: DataFrame, index: FingerprintIndex, scratch:
     some = placed.filter("first_id = id").join(again, ["h", "ctx"]).withColumn("rel", F.explode("rels"))
     some = some.select("id", "th", (F.col("pos") + F.col("rel")).alias("start"), (F.col("pos") + F.col("rel") + WINDOW).alias("end"))
     stretches = scratch.write(whole.union(some), f"stretches-{tag}")
-    index.add_run(fresh)
-    index.compact()
+    if not last:  # what nobody will look up isn't written
+        index.add_run(fresh)
+        index.compact()
     for name in ("anchors", "pairs", "several", "windows", "firsts", "again", *(["own"] if index.keep_windows else [])):
         scratch.drop(f"{name}-{tag}")
     return stretches
@@ -286,7 +319,7 @@ def remove_repeats(
         for k, (low, high) in enumerate(zip(edges, edges[1:])):
             upto: Column = F.lit(True) if high is None else F.col("id") <= high
             batch = rows.filter(upto if low is None else upto & (F.col("id") > low))
-            found = _batch(batch, rows.filter(upto), own, scratch, str(k))
+            found = _batch(batch, rows.filter(upto), own, scratch, str(k), index is None and high is None)
             stretches = found if stretches is None else stretches.union(found)
     finally:
         if index is None:

@@ -248,10 +248,30 @@ def test_anchors_are_sparse_and_cover_all_windows():
 def test_windows_against_brute_force(spark, seed, batches):
     docs = planted(seed)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    index = substring_dedup.FingerprintIndex(spark, f"test_windows_{seed}", 4, max_runs=2)
+    index = substring_dedup.FingerprintIndex(spark, f"test_windows_{seed}", 4, fan=2)
     got = substring_dedup.remove_repeats(frame, batches=batches, index=index).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, plain_removal(docs)))
-    assert len(index.runs()) <= 2
+    tiers = [index.tier(name) for name in index.runs()]
+    assert all(a != b for a, b in zip(tiers, tiers[1:]))
+    alone = substring_dedup.remove_repeats(frame, batches=batches).collect()  # an index of the call's own keeps no windows
+    assert sorted(map(repr, (tuple(r) for r in alone))) == sorted(map(repr, plain_removal(docs)))
+    index.drop()
+    assert index.runs() == []
+
+
+def test_fingerprint_compaction_that_died_counts_no_run_twice(spark):
+    docs = planted(3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = substring_dedup.FingerprintIndex(spark, "test_died", 4, fan=2)
+    with pytest.MonkeyPatch.context() as patch:
+        dies(patch, substring_dedup.FingerprintIndex, "_drop", 1, True)
+        try:
+            substring_dedup.remove_repeats(frame, batches=3, index=index)
+        except Killed:
+            assert len(index._every()) > len(index.runs())
+    pairs = sum(spark.table(name).count() for name in index.runs())
+    index.compact()
+    assert sum(spark.table(name).count() for name in index.runs()) == pairs and len(index._every()) == len(index.runs())
     index.drop()
 
 
@@ -281,7 +301,7 @@ def test_windows_index_finds_passages_of_earlier_calls(spark):
 def test_windows_three_calls_against_brute_force(spark):
     docs = [(i, t) for i, t in planted(7) if i is not None and i != 107]
     random.Random(1).shuffle(docs)
-    index, earlier = substring_dedup.FingerprintIndex(spark, "test_three", 4, max_runs=2), []
+    index, earlier = substring_dedup.FingerprintIndex(spark, "test_three", 4, fan=2), []
     for k in range(3):
         call = docs[k::3]
         got = substring_dedup.remove_repeats(spark.createDataFrame(call, "doc_id long, text string"), index=index, batches=2).collect()
