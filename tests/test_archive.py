@@ -3,13 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pluvia.plans import registry
 from pluvia.sinks import ObservationTable, append_new_observations, place_is_enough
 from pluvia.sources import archive
 from pluvia.streaming.ingest import ingest_archive
 
-from compare import connect, same_rows
-
 YEARS = (2020, 2022)
 
 
@@ -113,8 +110,3 @@ def test_bucketed_insert_leaves_history_unshuffled(spark, seen, tmp_path):
     back.insert(again, ["temperature"])
     assert back.table().count() == seen.count()
     spark.sql("DROP TABLE obs_bucketed")
-
-
-@pytest.mark.parametrize("name", ["archive_scan", "archive_resume", "insert_bucketed", "chunking"])
-def test_queries_equal_sql(spark, sf_dir, name):
-    same_rows(registry.queries()[name](spark, sf_dir), connect(sf_dir), registry.oracle_sql()[name])

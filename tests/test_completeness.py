@@ -4,9 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from compare import connect, same_rows
 from pluvia.operators import quality
-from pluvia.plans import registry
 from pluvia.streaming import completeness
 
 KIND = "latitude double, longitude double, timestamp timestamp_ntz, seen boolean"
@@ -50,7 +48,3 @@ def test_a_year_closes_by_timer_and_its_late_rows_are_dropped(spark, tmp_path):
     run()
     got = sorted((r.year, r.n, r.status, r.closed) for r in spark.read.parquet(changes).collect())
     assert got == [(2020, 1, "partial", False), (2020, 2, "partial", True), (2021, 1, "partial", False), (2021, 1, "partial", True), (2023, 1, "partial", False)]
-
-
-def test_query_equals_sql(spark, sf_dir):
-    same_rows(registry.queries()["running_completeness"](spark, sf_dir), connect(sf_dir), registry.oracle_sql()["running_completeness"])

@@ -4,10 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from compare import connect, same_rows
 from pluvia.functions.spei import spei
 from pluvia.operators import refresh
-from pluvia.plans import registry
 
 KIND = "point long, t timestamp_ntz, precip double, et0 double"
 
@@ -61,7 +59,3 @@ def test_a_point_that_comes_later_and_a_merge_that_died(spark, tmp_path, monkeyp
     close(kept.values(), spei(spark.createDataFrame(rows, KIND), ["point"], "t", "precip", "et0", 2))
     plan = kept.merged(spark.createDataFrame([(1, 0, 2.0, cut)], "point long, season int, value double, t timestamp_ntz"))._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
-
-
-def test_query_equals_sql(spark, sf_dir):
-    same_rows(registry.queries()["spei_refresh"](spark, sf_dir), connect(sf_dir), registry.oracle_sql()["spei_refresh"])
