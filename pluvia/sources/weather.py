@@ -39,15 +39,18 @@ def study_stations(listed: DataFrame, lat: tuple[float, float] = (32, 42), lon:
     return listed.filter(inside & (year("BEGIN") <= first) & (year("END") >= last)).select("USAF", "WBAN", "STATION NAME", "CTRY", "LAT", "LON", "ELEV(M)", "BEGIN", "END")
 
 
-def isd_lite(spark: SparkSession, paths: str | list[str], year: int | None = None) -> DataFrame:
+def isd_lite(spark: SparkSession, paths: str | list[str], year: int | None = None, named: bool = False) -> DataFrame:
     """Hourly observations of ISD-Lite files (plain or gzip): -9999 is missing, temperatures are in tenths.
 
     Files that can't be read are skipped (Spark logs a warning for each), and paths that don't exist too; without any
     file the frame is empty and has its columns. One gzip file is one task, so files are the unit of work; ``year`` is
-    tested on the data, never on file names.
+    tested on the data. Where files are ``named`` as they are published (station-WBAN-year), those of other years aren't
+    opened at all.
     """
     there = [p for p in ([paths] if isinstance(paths, str) else paths) if any(c in p for c in "*?[{") or exists(spark, p)]
     reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if named and year is not None:
+        reader = reader.option("pathGlobFilter", f"*-{year:04d}{{,.gz,.txt,.op.gz}}")
     if there:
         lines = reader.text(there).select("value", F.col("_metadata.file_path").alias("file"))
     else:

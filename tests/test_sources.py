@@ -30,6 +30,17 @@ def test_isd_lite(spark, tmp_path):
     assert weather.isd_lite(spark, str(path), 1991).count() == 0
 
 
+def test_isd_lite_opens_only_files_of_the_year(spark, tmp_path):
+    line = "{} 01 01 00   -50   -80 10250   270    20     4     0 -9999\n"
+    for name, year in (("053000-99999-1990.gz", 1990), ("053000-99999-1991.gz", 1991), ("054000-99999-1991", 1991), ("199100-99999-1992.gz", 1992)):
+        with (gzip.open if name.endswith("gz") else open)(tmp_path / name, "wt") as out:
+            out.write(line.format(year))
+    some = weather.isd_lite(spark, str(tmp_path), 1991, named=True)
+    assert some.count() == 2 and sorted(f.rsplit("/", 1)[1] for f in some.inputFiles()) == ["053000-99999-1991.gz", "054000-99999-1991"]
+    assert weather.isd_lite(spark, str(tmp_path), 1991).count() == 2 and weather.isd_lite(spark, str(tmp_path), named=True).count() == 4
+    assert weather.isd_lite(spark, str(tmp_path), 1950, named=True).count() == 0
+
+
 def test_forecast_and_archive(spark):
     body = json.dumps({"hourly": {"time": ["2026-01-01T00:00", "2026-01-01T01:00"], "temperature_2m": [1.5, 2.5], "relative_humidity_2m": [50], "wind_speed_10m": []}})
     rows = weather.forecast(spark.createDataFrame([(body,), ("{}",)], "value string")).orderBy("timestamp").collect()
