@@ -2,6 +2,7 @@ import numpy as np
 
 from pluvia.operators import kriging
 from pluvia.plans import registry
+from pluvia.session import Scratch
 
 
 def made(seed, n):
@@ -67,3 +68,18 @@ def test_missing_doubled_constant_and_lone_points(spark):
 def test_query(spark, sf_dir):
     found = registry.queries()["kriging"](spark, sf_dir)
     assert found.columns == ["a_key", "n", "value"] and found.count() == spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+
+
+def test_nearest_points_in_widening_bands_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(kriging, "CROWD", 4)
+    draw = np.random.default_rng(4)
+    at = np.vstack([draw.integers(0, 40, (300, 2)) / 40, draw.random((200, 2)) / 100])  # ties, and a crowd in a corner
+    at = np.unique(at, axis=0)
+    asked, points = frames(spark, at, np.arange(len(at)), np.vstack([draw.random((50, 2)), at[:5], [[9.0, 9.0]]]))
+    assert kriging._first_band(points, 0.5) > 1
+    got = {r.row: [p.value for p in r.near] for r in kriging.nearest_points(asked, points, 0.5, 6, Scratch(spark, "near")).collect()}
+    for r in asked.collect():
+        d = np.sqrt((r.lat - at[:, 0]) ** 2 + (r.lon - at[:, 1]) ** 2)
+        assert got[r.key] == [k for k in np.lexsort((np.arange(len(at)), d)).tolist() if d[k] <= 0.5][:6]
+    assert len(got) == 56
+    assert "Window" not in kriging.krige(asked, points, 0.5)._jdf.queryExecution().toString()  # which ranked all pairs in reach
