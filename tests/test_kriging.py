@@ -1,6 +1,6 @@
 import numpy as np
 
-from pluvia.operators import kriging
+from pluvia.operators import blocks, kriging
 from pluvia.plans import registry
 from pluvia.session import Scratch
 
@@ -83,3 +83,29 @@ def test_nearest_points_in_widening_bands_equal_brute_force(spark, monkeypatch):
         assert got[r.key] == [k for k in np.lexsort((np.arange(len(at)), d)).tolist() if d[k] <= 0.5][:6]
     assert len(got) == 56
     assert "Window" not in kriging.krige(asked, points, 0.5)._jdf.queryExecution().toString()  # which ranked all pairs in reach
+
+
+def test_variogram_of_points_in_rows_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 500)
+    draw = np.random.default_rng(5)
+    at = np.unique(np.column_stack([draw.integers(0, 3, 6000) / 50, draw.integers(0, 60_000, 6000) / 1_000_000]), axis=0)
+    values = 1 + at[:, 1] + draw.random(len(at)) / 10
+    _, points = frames(spark, at, values, at[:1])
+    looked, reach = [], 0.05
+    found = kriging.variogram(points, reach)
+    assert "b_key" not in found._jdf.queryExecution().toString()
+    got = {r.bin: (r.n, r.distance, r.gamma) for r in found.collect()}
+    y, x = (np.abs(at[:, None, i] - at[None, :, i]) for i in (0, 1))
+    d = np.sqrt(y * y + x * x)
+    far = np.triu((y <= reach) & (x <= reach) & (d <= reach), 1)
+    place = np.minimum(np.floor(d[far] / (reach / kriging.BINS)), kriging.BINS - 1).astype(int)
+    gap = ((values[:, None] - values[None]) ** 2)[far] / 2
+    n = np.bincount(place, minlength=kriging.BINS)
+    assert {b: v[0] for b, v in got.items()} == {b: k for b, k in enumerate(n.tolist()) if k}
+    for b, (_, distance, gamma) in got.items():
+        assert abs(distance - d[far][place == b].mean()) < 1e-13 and abs(gamma - gap[place == b].mean()) < 1e-13
+    for own in (True, False):  # runs are summed up, and few pairs of points looked at
+        one = kriging.Bins(blocks.Points(np.arange(len(at)), *at.T, values), reach, kriging.BINS)
+        monkeypatch.setattr(one, "_count", lambda left, right, distance, close, own: looked.append(close.sum()))
+        one.add(blocks.Points(np.arange(len(at)), *at.T, values), own)
+    assert sum(looked) < 2 * far.sum()
