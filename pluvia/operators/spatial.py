@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pluvia.operators.blocks import Block, Points, over_blocks
 from pluvia.operators.quadtree import nearest_within
 from pluvia.session import Scratch
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def grid(spark: SparkSession, lat: tuple[float, float] = (32, 42), lon: tuple[float, float] = (110, 123), step: float = 0.5) -> DataFrame:
     """Points of a regular grid, ends included, numbered latitude first. Coordinates are index times step, never sums."""
@@ -155,6 +162,35 @@ def inverse_distance(pairs: DataFrame, value: str, power: float = 2.0) -> DataFr
     )
 
 
+class Weighted(Block):
+    """Sums of the values around each left point, weighted by inverse distance, and of those at it."""
+
+    def __init__(self, left: Points, band: float, power: float):
+        super().__init__(left, band)
+        self.power, self.sums, self.met = power, np.zeros((4, len(left))), np.zeros(len(left), bool)
+
+    def see(self, rows: slice, right: Points, distance: np.ndarray, close: np.ndarray, own: bool) -> None:
+        known = ~np.isnan(right.value)
+        value, at, away = np.where(known, right.value, 0.0), close & known & (distance == 0), close & known & (distance > 0)
+        weight = np.zeros_like(distance)
+        np.divide(1.0, distance**self.power, out=weight, where=away)
+        self.sums[:, rows] += at @ value, at.sum(axis=1), weight @ value, weight.sum(axis=1)
+        self.met[rows] |= close.any(axis=1)
+
+    def rows(self) -> list[pa.Array]:
+        return [pa.array(self.left.key[self.met]), *[pa.array(s[self.met]) for s in self.sums]]
+
+
+def inverse_distance_within(left: DataFrame, right: DataFrame, band: float, power: float = 2.0) -> DataFrame:
+    """:func:`inverse_distance` of the right values at most ``band`` degrees away on both axes, for left points that have any.
+
+    Both sides have (key, lat, lon), the right one also value; NaN is no value. Pairs are summed up where they meet.
+    """
+    sums = over_blocks(left.withColumn("value", F.lit(0.0)), right.withColumn("key", F.lit(0)), band, lambda points, reach: Weighted(points, reach, power), "a_key long, at double, ats double, around double, weight double")
+    at, ats, around, weight = (F.sum(c) for c in ("at", "ats", "around", "weight"))
+    return sums.groupBy("a_key").agg(F.when(ats > 0, at / ats).when(weight > 0, around / weight).alias("value"))
+
+
 def bilinear(points: DataFrame, nodes: DataFrame, value: str, step: float) -> DataFrame:
     """``value`` of grid ``nodes`` (lat, lon, value) at ``points`` (key, lat, lon); null if a needed corner is missing."""
     y, x = F.floor(F.col("lat") / step).cast("long"), F.floor(F.col("lon") / step).cast("long")

@@ -49,8 +49,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.join(daily_orders(spark, sf_dir), "date").select("date", "obs", "sim")
 
 
-def places(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Suppliers or customers as points."""
+def places(spark: SparkSession, sf_dir: str, name: str, **more: Column) -> DataFrame:
+    """Suppliers or customers as points, with columns ``more`` of their table."""
     letter = {"supplier": "s_supp", "customer": "c_cust"}[name]
     t = table(spark, sf_dir, name)
-    return t.select(F.col(f"{letter}key").alias("key"), (F.col(f"{letter[:2]}nationkey") / 50).alias("lat"), (F.col(f"{letter[:2]}acctbal") / 10000).alias("lon"))
+    return t.select(F.col(f"{letter}key").alias("key"), (F.col(f"{letter[:2]}nationkey") / 50).alias("lat"), (F.col(f"{letter[:2]}acctbal") / 10000).alias("lon"), *[c.alias(k) for k, c in more.items()])

@@ -405,9 +405,8 @@ def merged_points(spark, sf_dir):
     d AS (SELECT a_key, val, sqrt((y - v) * (y - v) + (x - u) * (x - u)) AS d FROM a, b WHERE abs(y - v) <= 0.02 AND abs(x - u) <= 0.02)
     SELECT a_key, floor(coalesce(avg(val) FILTER (d = 0), sum(val / (d * d)) FILTER (d > 0) / sum(1 / (d * d)) FILTER (d > 0)) * 100 + 0.5) / 100 AS value FROM d GROUP BY 1""")
 def inverse_distance(spark, sf_dir):
-    near = spatial.band_join(places(spark, sf_dir, "supplier"), places(spark, sf_dir, "customer"), 0.02)
-    values = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b_key"), F.col("c_acctbal").alias("value"))
-    return spatial.inverse_distance(near.join(values, "b_key"), "value").withColumn("value", f4("value", 2))
+    known = places(spark, sf_dir, "customer", value=F.col("c_acctbal"))
+    return spatial.inverse_distance_within(places(spark, sf_dir, "supplier"), known, 0.02).withColumn("value", f4("value", 2))
 
 
 FACTORS_SQL = "(SELECT c_custkey AS key, c_nationkey / 50::DOUBLE AS lat, c_acctbal / 10000::DOUBLE AS lon, 1 + c_acctbal / 20000 + (c_custkey % 7) / 100::DOUBLE AS value FROM customer)"
@@ -415,8 +414,7 @@ FACTORS_SQL = "(SELECT c_custkey AS key, c_nationkey / 50::DOUBLE AS lat, c_acct
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correction factors at the customers' places."""
-    values = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (1 + F.col("c_acctbal") / 20000 + (F.col("c_custkey") % 7) / 100).alias("value"))
-    return places(spark, sf_dir, "customer").join(values, "key")
+    return places(spark, sf_dir, "customer", value=1 + F.col("c_acctbal") / 20000 + (F.col("c_custkey") % 7) / 100)
 
 
 @query(f"""WITH p AS (SELECT min(key) AS key, lat, lon, avg(value) AS value FROM {FACTORS_SQL} GROUP BY lat, lon),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pluvia.operators import quality, ranks, series, spatial, writes
 from pluvia.operators.components import components
 from pluvia.operators.skew import skewed_lookup
+from pluvia.plans import registry
 from pluvia.session import Scratch
 
 
@@ -77,6 +78,17 @@ def test_bilinear_and_inverse_distance(spark):
     assert {r.a_key: r.v for r in spatial.inverse_distance(pairs, "v").collect()} == {1: 5.0, 2: 2.0}
 
 
+def test_inverse_distance_within_equals_its_pairs(spark, sf_dir):
+    rows = [(1, 0.0, 0.0, 5.0), (2, 0.0, 0.1, 9.0), (3, 0.1, 0.1, None), (4, 0.1, 0.0, 2.0), (5, 0.0, 0.0, 7.0), (6, 3.0, 3.0, None), (7, None, 0.0, 1.0), (8, 0.05, 0.21, 4.0)]
+    right = spark.createDataFrame(rows, "key long, lat double, lon double, value double")
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.04, 0.07), (3, 3.0, 3.0), (4, 7.0, 7.0), (5, None, 0.0), (6, 0.1, 0.1)], "key long, lat double, lon double")
+    pairs = spatial.band_join(left, right, 0.12).join(right.select(F.col("key").alias("b_key"), "value"), "b_key")
+    rounded = lambda df: {r.a_key: None if r.value is None else round(r.value, 9) for r in df.collect()}
+    got = rounded(spatial.inverse_distance_within(left, right, 0.12))
+    assert got == rounded(spatial.inverse_distance(pairs, "value")) and got[1] == 6.0 and got[3] is None and 4 not in got
+    assert "b_key" not in registry.queries()["inverse_distance"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_zip_explode_pads_and_defaults(spark):
     df = spark.createDataFrame([(1, [1, 2], [3.0]), (2, None, None), (3, [], [])], "k int, a array<int>, b array<double>")
     assert sorted(map(tuple, series.zip_explode(df, ["a", "b"], ["k"]).collect())) == [(1, 0, 1, 3.0), (1, 1, 2, None)]
