@@ -58,6 +58,25 @@ def hashed_stems(words: list[str]) -> np.ndarray:
 FILTER_SHIFTS = (0, 32)
 
 
+def _bits(rows: DataFrame, key: Column) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits of the 64-bit keys."""
+    places = F.explode(F.array(*[F.shiftright(key, k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in FILTER_SHIFTS])).alias("at")
+    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    words = rows.select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may have the keys."""
+    said = np.ones(len(keys), bool)
+    for shift in FILTER_SHIFTS:
+        at = (keys >> shift) & (FILTER_BITS - 1)
+        said &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return said
+
+
 class Vocabulary(dict):
     """Places of words in the list ``words``; to be emptied when it gets large."""
 
@@ -139,21 +158,27 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text (compressed), whether it has words, toxic and fold of the labelled rows outside the held-out third."""
+    """text (compressed), whether it has words, toxic and fold of the labelled rows outside the held-out third.
+
+    A filter of a fixed size on the labelled ids leaves out most other rows before their texts are shuffled.
+    """
     fold = F.crc32(F.col("id").cast("string")) % FOLDS
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).filter(fold != 1)
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(marked, F.xxhash64("id")))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, word = zstandard.ZstdCompressor(level=3), re.compile(r"\w").search
         for batch in batches:
+            keys = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(_marked(bits.value, keys)))
             texts = [pack.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
             worded = [word(t.as_py() or "") is not None for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(worded, pa.bool_())], ["id", "packed", "worded"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(fold != 1)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(fold != 1).withColumn("hash", F.xxhash64("id"))
     # merged at every size: labels grow with the corpus and are never broadcast
-    return rows.mapInArrow(shrink, "id long, packed binary, worded boolean").join(marked.filter(fold != 1).hint("merge"), "id").withColumn("fold", fold)
+    return rows.mapInArrow(shrink, "id long, packed binary, worded boolean").join(marked.hint("merge"), "id").withColumn("fold", fold)
 
 
 def _halves(train: DataFrame) -> Column | None:
@@ -283,12 +308,7 @@ class ToxicityModel:
         return keys[order], values, None if total == sum(s.k for s in steps) else self._filter(size < least if least is not None else F.lit(True))
 
     def _filter(self, rest: Column) -> np.ndarray:
-        places = F.explode(F.array(*[F.shiftright("key", k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in FILTER_SHIFTS])).alias("at")
-        bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-        words = self.ratios.filter(rest).select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
-        bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-        bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-        return bits
+        return _bits(self.ratios.filter(rest), F.col("key"))
 
 
 class Lookup:
@@ -308,11 +328,7 @@ class Lookup:
         """Whether the table may have the keys."""
         if self.bits is None:
             return np.zeros(len(keys), bool)
-        said = np.ones(len(keys), bool)
-        for shift in FILTER_SHIFTS:
-            at = (keys >> shift) & (FILTER_BITS - 1)
-            said &= (self.bits[at >> 6] >> (at & 63)) & 1 == 1
-        return said
+        return _marked(self.bits, keys)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ratios of a text's words and their places in the vocabulary."""

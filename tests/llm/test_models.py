@@ -322,6 +322,18 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert sorted(one.ratios.collect()) == sorted(two.ratios.collect()) and one.unseen == two.unseen and (one.weights == two.weights).all()
 
 
+def test_toxicity_training_texts_without_label_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(0, 3000, 30)] + [(7, None)], "doc_id long, toxic int")
+    train = toxicity._training(docs, labels, "doc_id", "text", "toxic")
+    found = sorted(r.id for r in train.collect())
+    assert found == [i for i in range(0, 3000, 30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bits = toxicity._bits(labels.filter("toxic IS NOT NULL"), toxicity.F.xxhash64("doc_id"))
+    keys = docs.select(toxicity.F.xxhash64("doc_id").alias("key")).toArrow().column("key").to_numpy()
+    said = toxicity._marked(bits, keys)
+    assert said[::30].all() and said.sum() < 110
+
+
 def test_toxicity_awkward(awkward, empty, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (6, 0), (7, 0), (9, 1)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
